@@ -25,6 +25,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -230,13 +231,17 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "do
         t = tokenizer(path)
         for batch in batches:
             for part in _slices(batch):
-                ids = [t.encode(x) for x in part.column(1).to_pylist()]
+                paths = [t.paths(x) for x in part.column(1).to_pylist()]
+                joined = [" ".join(p) for p in paths]
+                counts = np.array([x.count(" ") + 1 if x else 0 for x in joined], np.int64)
+                flat = np.fromstring(" ".join(filter(None, joined)), dtype=np.int32, sep=" ")
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 yield pa.record_batch(
                     {
                         "doc_id": part.column(0),
-                        "n_tokens": pa.array(list(map(len, ids)), pa.int64()),
-                        "ids": pa.array(ids, pa.list_(pa.int32())),
-                        "decoded": pa.array(list(map(t.decode, ids)), pa.string()),
+                        "n_tokens": pa.array(counts),
+                        "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                        "decoded": pa.array(list(map(t.emit, paths)), pa.string()),
                     }
                 )
 

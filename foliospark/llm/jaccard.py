@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.components import merge_components
 from foliospark.llm.scratch import Scratch
-from foliospark.llm.textops import U64, mix64, shingle_sets, string_bytes, words
+from foliospark.llm.textops import U64, mix64, pieces, shingle_sets, string_bytes, words
 
 NO_ID = (1 << 63) - 1  # stands for a null id, so that it is the largest
 BLOCK = 1024  # nodes of a key that one task compares at a time
@@ -131,12 +131,6 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _longs(flat))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a in range(0, batch.num_rows, rows):
-            yield batch.slice(a, rows)
-
-
 def _set_id(s: np.ndarray) -> int:
     return int(mix64(s).sum(dtype=U64)) if len(s) else 0
 
@@ -150,7 +144,7 @@ def index_rows(docs: DataFrame, width: int, p: int, q: int, sets: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = _bands(p, q, sets)
-        for part in _pieces(batches):
+        for part in pieces(batches, 1):
             found = list(shingle_sets(words(*string_bytes(part.column(1))), width))
             yield pa.record_batch(
                 {
@@ -184,7 +178,7 @@ def set_rows(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        for part in _pieces(batches):
+        for part in pieces(batches, 1):
             place = part.column(2).to_numpy()
             part = part.filter(pa.array((bits.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1))
             part = part.filter(pc.is_valid(part.column(0)))
@@ -204,7 +198,7 @@ def verify(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """The pairs (a, b) that are linked, by their whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _pieces(batches, 2048):
+        for part in pieces(batches, 2):
             keep = []
             for x, y in zip(part.column(2), part.column(3), strict=True):
                 r, s = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)

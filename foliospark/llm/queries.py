@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import bpe, chat, jaccard, media, sharding, urls, warc
+from foliospark.llm import bpe, chat, decontaminate, jaccard, langid, media, quality, sharding, urls, warc
 from foliospark.llm.scratch import Scratch
 
 SHARDS = 40
@@ -86,6 +86,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("lang").alias("declared"), "language", "confidence", "accepted")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "warc").path()
     warc.write(table(spark, sf_dir, "pages"), path)
@@ -99,6 +104,21 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_labelled(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id",
+        quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=3, p=90, q=100)
 
@@ -118,7 +138,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_media_mpeg": op2_media_mpeg,
         "op3_url_filter": op3_url_filter,
         "op4_bpe": op4_bpe,
+        "op5_language_id": op5_language_id,
         "op6_warc": op6_warc,
+        "op7_quality_gam": op7_quality_gam,
+        "op8_decontaminate": op8_decontaminate,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_chat": op10_chat,
     }

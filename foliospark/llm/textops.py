@@ -7,6 +7,7 @@ sums, so no Python code runs per character or per word.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +15,8 @@ import pyarrow as pa
 
 U64 = np.uint64
 
+PIECE_ROWS, PIECE_BYTES = 512, 4 << 20
+
 # ASCII white space: space and 0x09-0x0D.
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -53,6 +56,18 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def pieces(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most PIECE_ROWS rows and, single rows apart, PIECE_BYTES of column ``text``."""
+    for batch in batches:
+        _, offsets = string_bytes(batch.column(text))
+        a = 0
+        while a < batch.num_rows:
+            b = int(np.searchsorted(offsets, offsets[a] + PIECE_BYTES, side="right")) - 1
+            b = max(a + 1, min(b, a + PIECE_ROWS))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all values end to end, and len+1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
