@@ -63,13 +63,15 @@ class Automaton:
         number = {t: i for i, t in enumerate(names)}
         self.left, self.right = [-1] * self.symbols, [-1] * self.symbols
         self.meets: dict[tuple[int, int], int] = {}
+        self.unmade: set[int] = set()
         for a, b in merges:
             self._gadget(number[a], number[b], number.setdefault(a + b, len(number)))
         self.id_of = [vocabulary[t] for t in number]
         # A word's end mark is one letter here, which no token has alone.
         self.mark = ""
         self.labels = list(number)
-        self.arcs = {(t[: -len(end)] + self.mark if t.endswith(end) else t): i for t, i in number.items()}
+        made_at = ((t, i) for t, i in number.items() if i not in self.unmade)
+        self.arcs = {(t[: -len(end)] + self.mark if t.endswith(end) else t): i for t, i in made_at}
         # The longest arc that starts with given three letters.
         self.reach: dict[str, int] = {}
         for t in self.arcs:
@@ -79,7 +81,11 @@ class Automaton:
     def _gadget(self, u: int, v: int, uv: int) -> None:
         self.left.append(u)
         self.right.append(v)
-        self.meets[u, v] = uv
+        # Where the automaton has no v behind u, earlier merges never leave the two side by side.
+        if u in self.unmade or v in self.unmade or not self._trace(u, v):
+            self.unmade.add(uv)
+        else:
+            self.meets[u, v] = uv
 
     def follows(self, x: int, y: int) -> bool:
         """Whether the state behind x has the arc y."""

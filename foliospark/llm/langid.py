@@ -148,17 +148,19 @@ def gathered(
     url_col: str | None = None,
     id_col: str = "doc_id",
 ) -> DataFrame:
-    """Evidence columns __text, __declared, __host, __suffix, __id beside those of docs."""
+    """Evidence columns __text, __declared, __host, __suffix, __id beside __row, a struct of docs' own columns."""
     none = F.lit(None).cast("string")
     host = host_of(F.col(url_col)) if url_col else F.col(host_col).cast("string") if host_col else none
     declared = F.lower(F.trim(F.col(declared_col).cast("string"))) if declared_col else none
-    return (
-        docs.withColumn("__id", F.col(id_col))
-        .withColumn("__text", F.col(text_col).cast("string"))
-        .withColumn("__declared", F.when(declared != "", F.regexp_extract(declared, "^[^-_]*", 0)))
-        .withColumn("__host", host)
-        .withColumn("__suffix", suffix_of(F.col("__host")))
+    # Own columns are packed, so that none can clash with these.
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
+        F.col(id_col).alias("__id"),
+        F.col(text_col).cast("string").alias("__text"),
+        F.when(declared != "", F.regexp_extract(declared, "^[^-_]*", 0)).alias("__declared"),
+        host.alias("__host"),
     )
+    return packed.withColumn("__suffix", suffix_of(F.col("__host")))
 
 
 @dataclass
@@ -256,21 +258,19 @@ def identify(docs: DataFrame, sample: int = 8000, least: float = 0.5, only_accep
     rows = gathered(docs, **columns)
     fusion, hosts = learn(rows, sample, least)
     shared = docs.sparkSession.sparkContext.broadcast(fusion)
-    width = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, width):
-            evidence = [part.column(width + k).to_pylist() for k in (1, 2, 3)]
-            language, top, accepted = shared.value.decide(part.column(width), *evidence)
-            kept = part.select(list(range(width)))
+        for part in pieces(batches, 1):
+            language, top, accepted = shared.value.decide(part.column(1), *(part.column(k).to_pylist() for k in (2, 3, 4)))
+            own = pa.RecordBatch.from_struct_array(part.column(0))
             if only_accepted:
-                yield kept.filter(pa.array(accepted, pa.bool_()))
+                yield own.filter(pa.array(accepted, pa.bool_()))
             else:
-                kept = kept.append_column("language", pa.array(language, pa.string()))
-                kept = kept.append_column("confidence", pa.array(top, pa.float64()))
-                yield kept.append_column("accepted", pa.array(accepted, pa.bool_()))
+                own = own.append_column("language", pa.array(language, pa.string()))
+                own = own.append_column("confidence", pa.array(top, pa.float64()))
+                yield own.append_column("accepted", pa.array(accepted, pa.bool_()))
 
-    joined = _with_hosts(rows, hosts).select(*[docs[c] for c in docs.columns], "__text", "__declared", "__above", "__sums")
+    joined = _with_hosts(rows, hosts).select("__row", "__text", "__declared", "__above", "__sums")
     schema = docs.schema
     if not only_accepted:
         extra = [("language", T.StringType()), ("confidence", T.DoubleType()), ("accepted", T.BooleanType())]

@@ -2,7 +2,7 @@
 
 ``parse`` walks a byte string the way a player that lost its place does: it skips an
 ID3v2 tag, hunts for a frame header, and accepts one only if the header is valid and
-the next header stands where this frame ends (or the data ends there). It reads the
+the next header stands where this frame ends (or the data ends there), or its checksum holds. It reads the
 Xing/Info and VBRI tables, verifies each frame's CRC-16 where one is present, and
 returns exact durations (samples over rate) and the byte offset of every frame.
 
@@ -179,6 +179,14 @@ def _stands(data: bytes, at: int) -> bool:
     return at + 4 > len(data) or header(data[at : at + 4]) is not None or read_old_tag(data, at) is not None
 
 
+def _checks(data: bytes, at: int, head: Header) -> bool:
+    """Whether the frame at ``at`` has a checksum that holds."""
+    if not head.protected or head.layer != 3:
+        return False
+    covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + head.side]
+    return crc16(covered) == int.from_bytes(data[at + 4 : at + 6], "big")
+
+
 def parse(data: bytes | None) -> Stream:
     data = bytes(data or b"")
     out = Stream()
@@ -198,7 +206,7 @@ def parse(data: bytes | None) -> Stream:
             out.first.frequency,
         ):
             head = None
-        if head is None or follows > end or not _stands(data, follows):
+        if head is None or follows > end or not (_stands(data, follows) or _checks(data, at, head)):
             # Lost: the next 0xFF is the next place where a header can be.
             found = data.find(b"\xff", at + 1, end)
             out.skipped += (found if found >= 0 else end) - at
@@ -212,8 +220,7 @@ def parse(data: bytes | None) -> Stream:
         out.first = out.first or head
         rates.add(head.bitrate)
         if head.protected and head.layer == 3:
-            spot = at + 6 + head.side
-            good = crc16(data[at + 2 : at + 4] + data[at + 6 : spot]) == int.from_bytes(data[at + 4 : at + 6], "big")
+            good = _checks(data, at, head)
             out.crc_ok += good
             out.crc_bad += not good
         out.offsets.append(at)

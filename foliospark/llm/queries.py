@@ -94,8 +94,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "warc").path()
     warc.write(table(spark, sf_dir, "pages"), path)
-    full = F.sha2("payload", 256)
-    return warc.read(spark, path).select(
+    full = F.col("payload_sha256")
+    return warc.read(spark, path, payload=False).select(
         "page_id",
         "payload_bytes",
         F.when(F.col("record_type") == "revisit", F.col("digest")).otherwise(full).alias("payload_digest"),

@@ -206,8 +206,11 @@ def candidates(spark: SparkSession, path: str, payload: bool = True) -> DataFram
     return files.mapInArrow(run, FIELDS + (", payload binary" if payload else ""))
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records that a chain from their file's start reaches, payloads included."""
+def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """The records that a chain from their file's start reaches, with payload_sha256 and, if wanted, payloads.
+
+    Only offsets meet in the chains, and only what is asked for meets them afterwards.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("offset")
@@ -216,4 +219,5 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     links = candidates(spark, path, payload=False).select("path", "offset", "successor")
     chain = links.groupBy("path").applyInArrow(run, "path string, offset long")
-    return candidates(spark, path).join(chain, ["path", "offset"], "left_semi")
+    found = candidates(spark, path).withColumn("payload_sha256", F.sha2("payload", 256))
+    return (found if payload else found.drop("payload")).join(chain, ["path", "offset"], "left_semi")
