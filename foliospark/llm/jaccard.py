@@ -2,11 +2,18 @@
 
 A text's set holds the hashes of its distinct word shingles. Sets whose Jaccard
 similarity reaches p/q differ in at most H = (|r| + |s|)(q - p)/(q + p) shingles.
-Within a size band the hash space is cut into m segments; a set indexes the content of
-each (its subset of the universe's segment), and for d of them also every content with
-one shingle deleted. An equal content spends one unit of H + 1, an equality up to one
-deletion two, so with m + d = H + 1 two similar sets must meet in some segment.
-``allocate`` picks d for each band by cost: rows written against pairs met by chance.
+Within a size band the hash space is cut into m segments. A set indexes the content of
+its segments (its subsets of the universe's segments), and for the first d of them also
+every content with one shingle deleted. Where the contents of a segment differ, that
+takes one of the H differences, and two if they differ by more than a deletion. So a set
+need not index all segments: the d and then as many of the others as bring the
+sum to H + 1 are enough, and segments that are empty in it, which would meet half the
+band, are passed over. The set whose choice ends first has only segments that its
+partner has chosen too, so similar sets always meet. A set with too few segments that
+aren't empty indexes them all.
+
+``allocate`` picks m and d for each band by cost: rows written against pairs met by
+chance.
 
 Equal sets are one node from the start, so exact copies never meet each other. Keys met
 by one node only are dropped by an aggregate that carries two numbers a key. What is
@@ -43,6 +50,7 @@ NO_ID = (1 << 63) - 1  # stands for a null id, so that it is the largest
 BLOCK = 1024  # nodes of a key that one task compares at a time
 PAIR_COST = 0.01  # a pair met by chance against a row written
 FILTER_BITS = 1 << 23
+SEEN = 200_000
 
 
 def difference(total: int, p: int, q: int) -> int:
@@ -57,7 +65,7 @@ class Bands:
         self.p, self.q = p, q
         edge = [1]
         while edge[-1] < 1 << 31:
-            edge.append(edge[-1] * 3 // 2 + 1)
+            edge.append(edge[-1] * 7 // 4 + 1)
         self.edge = np.array(edge)
         self.of = [self.allocate(int(a), int(b), sets) for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
@@ -68,18 +76,21 @@ class Bands:
         others = sets / 8 + 1  # of the same band, roughly
         best, choice = math.inf, (need, 0)
         for d in range(0, need // 2 + 1, max(1, need // 64)):
-            m = need - d
+            m = math.ceil(1.08 * (need - d)) + 1  # a few more, as some are empty
             x = low / m
-            empty, few = math.exp(-2 * x), math.exp(-2 * x) * (1 + x) ** 2
-            cost = (m - d) + d * (1 + x) + PAIR_COST * others * ((m - d) * empty + d * few)
+            one, few = math.exp(-2 * x) * x**2, math.exp(-2 * x) * (1 + x) ** 2
+            # Singletons meet if they are the same shingle, say one in a hundred.
+            cost = (need - 2 * d) + d * (2 + x) + PAIR_COST * others * ((need - 2 * d) * one / 100 + d * few)
             if cost < best:
                 best, choice = cost, (m, d)
         return choice
 
-    def bands(self, n: int) -> list[int]:
-        """The set's own band, and the next if a linked set can lie there."""
+    def bands(self, n: int) -> list[tuple[int, int]]:
+        """The set's own band, and the next if a linked set can lie there; with the most differences there."""
         own = int(np.searchsorted(self.edge, n, side="right")) - 1
-        return [own, own + 1] if n * self.q >= self.edge[own + 1] * self.p else [own]
+        above, largest = int(self.edge[own + 1]), n * self.q // self.p
+        found = [(own, difference(n + min(largest, above - 1), self.p, self.q))]
+        return [*found, (own + 1, difference(n + largest, self.p, self.q))] if largest >= above else found
 
     def keys(self, s: np.ndarray) -> np.ndarray:
         """Index keys of a sorted set of shingle hashes."""
@@ -89,7 +100,7 @@ class Bands:
         element = mix64(s + U64(0x2545F4914F6CDD1D))
         sums = np.zeros(len(s) + 1, U64)
         np.cumsum(element, out=sums[1:])
-        for band in self.bands(len(s)):
+        for band, most in self.bands(len(s)):
             m, d = self.of[band]
             if not m:
                 continue
@@ -98,7 +109,11 @@ class Bands:
             at = np.searchsorted(segment, np.arange(m + 1, dtype=U64))
             salt = mix64(np.arange(m, dtype=U64) + U64(band << 32))
             content = sums[at[1:]] - sums[at[:-1]]
-            parts.append(mix64(content + salt))
+            full = np.flatnonzero(at[d + 1 :] > at[d:-1]) + d
+            wanted = most + 1 - 2 * d
+            chosen = full[: max(0, wanted)] if len(full) >= wanted else np.arange(d, m)
+            chosen = np.concatenate([np.arange(d), chosen])
+            parts.append(mix64(content[chosen] + salt[chosen]))
             if d:
                 stop = at[d]
                 which = segment[:stop].astype(np.int64)
@@ -124,13 +139,6 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    offsets = np.zeros(len(parts) + 1, np.int32)
-    np.cumsum([len(x) for x in parts], out=offsets[1:])
-    flat = np.concatenate(parts) if parts else np.zeros(0, U64)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _longs(flat))
-
-
 def _set_id(s: np.ndarray) -> int:
     return int(mix64(s).sum(dtype=U64)) if len(s) else 0
 
@@ -139,11 +147,10 @@ def _as_longs(values: list[int]) -> pa.Array:
     return _longs(np.array(values, dtype=U64))
 
 
-def index_rows(docs: DataFrame, width: int, p: int, q: int, sets: int) -> DataFrame:
-    """id, n, node, sketch, keys of each row of docs (id, text)."""
+def node_rows(docs: DataFrame, width: int) -> DataFrame:
+    """id, n, node, sketch of each row of docs (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = _bands(p, q, sets)
         for part in pieces(batches, 1):
             found = list(shingle_sets(words(*string_bytes(part.column(1))), width))
             yield pa.record_batch(
@@ -152,11 +159,34 @@ def index_rows(docs: DataFrame, width: int, p: int, q: int, sets: int) -> DataFr
                     "n": pa.array([len(s) for s in found], pa.int64()),
                     "node": _as_longs([_set_id(s) for s in found]),
                     "sketch": pa.array([sketch(s) for s in found], pa.binary()),
-                    "keys": _lists([bands.keys(s) for s in found]),
                 }
             )
 
-    return docs.mapInArrow(run, "id long, n long, node long, sketch binary, keys array<long>")
+    return docs.mapInArrow(run, "id long, n long, node long, sketch binary")
+
+
+def key_rows(docs: DataFrame, width: int, p: int, q: int, sets: int) -> DataFrame:
+    """key, node: the index rows, those of equal sets once a task (as far as ``SEEN`` nodes back)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = _bands(p, q, sets)
+        seen: set[int] = set()
+        for part in pieces(batches, 1):
+            ids, keys = [], []
+            for s in shingle_sets(words(*string_bytes(part.column(1))), width):
+                node = _set_id(s)
+                if node in seen or not len(s):
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(node)
+                ids.append(node)
+                keys.append(bands.keys(s))
+            if keys:
+                node = np.repeat(np.array(ids, U64), [len(k) for k in keys])
+                yield pa.record_batch({"key": _longs(np.concatenate(keys)), "node": _longs(node)})
+
+    return docs.mapInArrow(run, "key long, node long")
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
@@ -212,6 +242,28 @@ def verify(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
+def sifted(pairs: DataFrame, known: DataFrame, p: int, q: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches allow. known: node, n, sketch."""
+    sized = pairs.join(known.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+    sized = sized.join(known.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    sized = sized.filter(F.least("na", "nb") * q >= F.greatest("na", "nb") * p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            gaps = np.zeros(batch.num_rows, np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                r, s = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+                while len(r) != len(s):
+                    long = r if len(r) > len(s) else s
+                    long = long[: len(long) // 2] ^ long[len(long) // 2 :]
+                    r, s = (long, s) if len(r) > len(s) else (r, long)
+                gaps[i] = np.bitwise_count(r ^ s).sum()
+            yield batch.select([0, 1]).filter(pa.array(gaps * (q + p) <= total * (q - p)))
+
+    return sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
 def _folded(matrix: np.ndarray) -> np.ndarray:
     """Sketches of half the bins."""
     half = matrix.shape[1] // 2
@@ -334,26 +386,20 @@ def jaccard_components(
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text")
     )
-    base = scratch.put(index_rows(rows, width, p, q, docs.count()))
+    total = docs.count()
+    base = scratch.put(node_rows(rows, width))
     nodes = base.filter("n > 0").groupBy("node").agg(
         F.min("id").alias("low"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
     )
-    keyed = base.filter("n > 0").select(F.explode("keys").alias("key"), "node")
-    met = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
-    met = scratch.put(met.select("key", F.col("lo").alias("hub")))
-    members = scratch.put(keyed.join(met.hint("shuffle_hash"), "key").distinct())
+    # One exchange serves both the count of a key's nodes and the join with the keys that have several.
+    keyed = key_rows(rows, width, p, q, total).repartition("key")
+    met = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub <> far")
+    members = scratch.put(keyed.join(met.select("key", "hub").hint("shuffle_hash"), "key").distinct())
     used = members.select("node").distinct()
     known = scratch.put(nodes.join(used, "node"))
     sets = scratch.put(set_rows(rows, width, known.select(F.col("low").alias("id"))))
     star = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    # Sizes first: most pairs met by chance fail there.
-    size = known.select("node", "n")
-    star = (
-        star.join(size.toDF("a", "na"), "a")
-        .join(size.toDF("b", "nb"), "b")
-        .filter(F.least("na", "nb") * q >= F.greatest("na", "nb") * p)
-        .select("a", "b")
-    )
+    star = sifted(star, known, p, q)
     tried = scratch.put(star)
     labels = known.select("node", F.col("node").alias("label"))
     labels = merge_components(labels, scratch.put(verify(tried, sets, p, q)), scratch)

@@ -122,11 +122,12 @@ def fit_text(docs: DataFrame, sample: int, seed: int = 11) -> TextModel:
         column = np.array([languages.index(x) for x in rows.column("language").to_pylist()])
         counts[rows.column("code").to_numpy(), column] = rows.column("n").to_numpy()
     table = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * BUCKETS)).astype(np.float32)
-    # A language's own mean log-likelihood, less a wide margin, is the least that counts as its text.
+    # Between a language's own mean log-likelihood and that of trigrams it has never seen,
+    # three quarters of the way down: codes, addresses and names inside its texts stay above.
     share_of = counts / np.maximum(counts.sum(axis=0), 1)
     mean = (share_of * table).sum(axis=0)
-    spread = np.sqrt((share_of * (table - mean) ** 2).sum(axis=0))
-    return TextModel(languages, table, mean - 1.5 * spread)
+    unseen = np.log(0.5 / (counts.sum(axis=0) + 0.5 * BUCKETS))
+    return TextModel(languages, table, mean + 0.75 * (unseen - mean))
 
 
 def host_of(url: Column) -> Column:

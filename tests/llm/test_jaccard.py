@@ -107,7 +107,7 @@ def test_linked_sets_share_a_key_at_every_allocation(p, q, sets):
             both = len(np.intersect1d(s, t))
             if both and q * both >= p * (len(s) + len(t) - both) and len(np.setxor1d(s, t)):
                 assert len(np.setxor1d(s, t)) <= difference(len(s) + len(t), p, q)
-                assert np.intersect1d(bands.keys(s), bands.keys(t)).size
+                assert np.intersect1d(bands.keys(s), bands.keys(t)).size, (n, gone)
 
 
 def test_sketch_never_refuses_linked_sets():
