@@ -48,7 +48,7 @@ def _best(std: Column, key: Column, block: list[tuple], config: Config, template
         frame = pd.DataFrame(rows, columns=["folder", "folder_ord", "score", "kind"])
         return frame.astype({"folder_ord": "Int64", "score": "float64", "kind": "int32"})
 
-    return F.pandas_udf(run, BEST)(std, key)
+    return F.pandas_udf(run, BEST).asNondeterministic()(std, key)  # once a distinct name: no filter may move below it
 
 
 def _ranked(names: DataFrame, folders: DataFrame, config: Config, template: bool) -> DataFrame:
@@ -119,4 +119,4 @@ def _pair_score(config: Config):
     def run(a: pd.Series, b: pd.Series, ka: pd.Series, kb: pd.Series) -> pd.Series:
         return pd.Series([folder_score(*x, config) for x in zip(a, b, ka, kb, strict=True)], dtype="float64")
 
-    return F.pandas_udf(run, "double")
+    return F.pandas_udf(run, "double").asNondeterministic()

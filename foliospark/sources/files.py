@@ -13,7 +13,11 @@ from foliospark.operators.segment import PRE_PAGES, UNMATCHED
 
 
 def scan_pdfs(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """path, length, modificationTime of PDF files; contents are never read."""
+    """path, length, modificationTime of PDF files; contents are never read.
+
+    Spark's file index passes over names that begin with ``_`` or ``.``; the ``dirs``
+    source below sees them.
+    """
     reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
@@ -29,7 +33,8 @@ class DirectorySource(DataSource):
     """Sub-directories of ``path``, empty ones included, hidden ones not.
 
     Option ``containers``: names, comma-separated, whose own sub-directories are listed
-    instead of them. For folders that every task can list (a mounted share).
+    instead of them. Option ``files``: true for a row a PDF file in them. For folders that
+    every task can list (a mounted share).
     """
 
     @classmethod
@@ -37,7 +42,7 @@ class DirectorySource(DataSource):
         return "dirs"
 
     def schema(self) -> str:
-        return "folder string, path string, container string, folder_ord long"
+        return "folder string, path string, container string, folder_ord long, file string"
 
     def reader(self, schema) -> DataSourceReader:
         return DirectoryReader(self.options)
@@ -46,6 +51,7 @@ class DirectorySource(DataSource):
 class DirectoryReader(DataSourceReader):
     def __init__(self, options) -> None:
         self.root = options["path"].removeprefix("file://").removeprefix("file:")
+        self.files = options.get("files", "false").lower() == "true"
         self.containers = [c for c in options.get("containers", "").split(",") if c]
 
     def partitions(self) -> list[InputPartition]:
@@ -57,7 +63,8 @@ class DirectoryReader(DataSourceReader):
             inner = os.path.join(self.root, name)
             listed = [(sub, os.path.join(inner, sub), name) for sub in _folders(inner)] if name in self.containers else [(name, inner, None)]
             for folder, path, container in listed:
-                yield folder, path, container, place
+                for file in _pdfs(path) if self.files else (None,):
+                    yield folder, path, container, place, file
                 place += 1
 
 
@@ -67,9 +74,15 @@ def _folders(root: str) -> list[str]:
     return sorted(e.name for e in os.scandir(root) if e.is_dir() and not e.name.startswith("."))
 
 
-def list_folders(spark: SparkSession, root: str, containers: tuple[str, ...] = ()) -> DataFrame:
+def _pdfs(folder: str) -> list[str]:
+    return sorted(e.name for e in os.scandir(folder) if e.is_file() and e.name.lower().endswith(".pdf"))
+
+
+def list_folders(spark: SparkSession, root: str, containers: tuple[str, ...] = (), pdfs: bool = False) -> DataFrame:
     spark.dataSource.register(DirectorySource)
-    return spark.read.format("dirs").option("containers", ",".join(containers)).load(root)
+    reader = spark.read.format("dirs").option("containers", ",".join(containers)).option("files", str(pdfs).lower())
+    found = reader.load(root)
+    return found if pdfs else found.drop("file")
 
 
 def scan_received(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -78,7 +91,4 @@ def scan_received(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
     folders = listed.select(
         "folder", "path", "folder_ord", F.col("container").isNotNull().alias("is_unmatched"), (F.col("folder") == PRE_PAGES).alias("is_pre_pages")
     )
-    path = F.url_decode(F.regexp_replace("path", r"\+", "%2B"))
-    parts = F.split(path, "/")
-    files = scan_pdfs(spark, root).select(F.element_at(parts, -1).alias("file"), F.regexp_replace(F.regexp_replace(path, "^file:/+", "/"), "/[^/]*$", "").alias("path"))
-    return folders, files.join(folders.select("folder", "path"), "path").select("folder", "file")
+    return folders, list_folders(spark, root, (UNMATCHED,), pdfs=True).select("folder", "file")
