@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
+from foliospark.operators.rules import MOST_RULES
 from foliospark.operators.segment import PRE_TITLE, UNTITLED
 
 DEFAULT_TYPES = ("开工报告", "竣工报告")
@@ -94,6 +95,12 @@ def match_received(expected: DataFrame, folders: DataFrame) -> DataFrame:
     return done.unionByName(left.join(near, "ek", "left").select(*want.columns, "received", "folder_ord")).drop("ek")
 
 
+def configuration(df: DataFrame, most: int = MOST_RULES) -> DataFrame:
+    """A small table as a local relation: its true size is known when joins are planned. Larger ones stay as they are."""
+    some = df.limit(most + 1).toArrow()
+    return df.sparkSession.createDataFrame(some, df.schema) if some.num_rows <= most else df
+
+
 def report(
     projects: DataFrame, types: DataFrame, files: DataFrame, folders: DataFrame, rules: DataFrame
 ) -> DataFrame:
@@ -101,11 +108,13 @@ def report(
 
     projects: name, ord. types: type, ord. files: folder, file. folders: folder, folder_ord.
     """
-    aliases = alias_map(rules)
+    types = configuration(types)
+    aliases = configuration(alias_map(rules))
     wanted = ordered_distinct(projects, "name", "ord").withColumn("folder", F.col("name"))
     matched = match_received(wanted, folders.select("folder", "folder_ord"))
     kinds = canonical(types.filter("type <> ''"), "type", aliases, "canon").select("type", "ord", T.normalize_compare(F.col("canon")).alias("key"))
     kinds = kinds.groupBy("key").agg(F.min(F.struct("ord", "type")).alias("t")).select("key", F.col("t.ord").alias("t_ord"), F.col("t.type").alias("type"))
+    kinds = configuration(kinds)
     all_types = F.transform(F.array_sort(F.collect_list(F.struct("ord", "type"))), lambda t: t["type"])
     required = types.filter("type <> ''").agg(all_types.alias("required"))
     known = (
@@ -115,6 +124,7 @@ def report(
         .distinct()
         .withColumn("known", F.lit(True))
     )
+    known = configuration(known, 4 * MOST_RULES)
     stem = F.regexp_replace("file", r"\.[^.]*$", "")
     got = matched.join(files.select(F.col("folder").alias("received"), "file"), "received")
     got = got.withColumn("stem", stem).filter("stem <> ''").withColumn("type", file_type(F.col("stem"), F.col("received")))
