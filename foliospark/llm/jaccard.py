@@ -122,9 +122,9 @@ class Bands:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity of the shingles in each of a power of two of bins, near twice the set's size."""
+    """Parity of the shingles in each of a power of two of bins, one to two for each shingle."""
     bits = 64
-    while bits < 2 * len(s):
+    while bits < len(s):
         bits *= 2
     counts = np.bincount((mix64(s ^ U64(0x9E6C63D0876A9A47)) & U64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(bool)).tobytes()
@@ -237,7 +237,9 @@ def verify(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
                 keep.append(q * common >= p * (len(both) - common))
             yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = sets.toDF("a", "whole_a"), sets.toDF("b", "whole_b")
+    # Only sets that occur in pairs are dealt out.
+    left = sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").toDF("a", "whole_a")
+    right = sets.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi").toDF("b", "whole_b")
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "whole_a", "whole_b")
     return joined.mapInArrow(run, "a long, b long").distinct()
 
@@ -321,11 +323,12 @@ def close_pairs(
     return i, j
 
 
-def candidate_pairs(members: DataFrame, p: int, q: int, nearest: bool) -> DataFrame:
+def candidate_pairs(members: DataFrame, known: DataFrame, p: int, q: int, nearest: bool) -> DataFrame:
     """Distinct pairs (a, b) of nodes that share a key, differ in label and may be linked.
 
-    members: key, node, label, n, sketch. A key's nodes are dealt into blocks; each pair
-    of blocks is compared by one task, which streams over its sorted rows.
+    members: key, node, label. known: node, n, sketch. A key's nodes are dealt into
+    blocks; each pair of blocks is compared by one task, which streams over its sorted
+    rows. Sketches join last, for keys with several labels only.
     """
     sized = members.groupBy("key").agg(
         F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("k")
@@ -340,9 +343,9 @@ def candidate_pairs(members: DataFrame, p: int, q: int, nearest: bool) -> DataFr
         F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
         "node",
         "label",
-        "n",
-        "sketch",
     )
+    placed = placed.join(known.select("node", "n", "sketch"), "node")
+    placed = placed.select("key", "bi", "bj", "side", "node", "label", "n", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
@@ -404,8 +407,8 @@ def jaccard_components(
     labels = known.select("node", F.col("node").alias("label"))
     labels = merge_components(labels, scratch.put(verify(tried, sets, p, q)), scratch)
     for nearest in (True, False):
-        rows_of = members.select("key", "node").join(labels, "node").join(known.select("node", "n", "sketch"), "node")
-        pairs = scratch.put(candidate_pairs(rows_of, p, q, nearest).join(tried, ["a", "b"], "left_anti"))
+        labelled = members.select("key", "node").join(labels, "node")
+        pairs = scratch.put(candidate_pairs(labelled, known, p, q, nearest).join(tried, ["a", "b"], "left_anti"))
         labels = merge_components(labels, scratch.put(verify(pairs, sets, p, q)), scratch)
         tried = tried.union(pairs)
     least = labels.join(known.select("node", "low"), "node")

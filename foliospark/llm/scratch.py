@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a folder of this machine only where that is unset, as in tests."""
     return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='foliospark-')}"
@@ -27,7 +30,13 @@ class Scratch:
 
     def put(self, df: DataFrame) -> DataFrame:
         path = self.path()
-        df.write.parquet(path)
+        # A step's shuffle files go as soon as its table is written, not when the driver happens to collect garbage.
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:
