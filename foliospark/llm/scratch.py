@@ -8,7 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# While a table is written: a step's shuffle files go as soon as it is complete, not when the driver
+# happens to collect garbage; and batches for Python are small, as rows with whole texts or sets are wide.
+WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,13 +35,14 @@ class Scratch:
 
     def put(self, df: DataFrame) -> DataFrame:
         path = self.path()
-        # A step's shuffle files go as soon as its table is written, not when the driver happens to collect garbage.
-        before = self.spark.conf.get(CLEANUP, "false")
-        self.spark.conf.set(CLEANUP, "true")
+        before = {k: self.spark.conf.get(k) for k in WHILE_WRITING}
         try:
+            for k, v in WHILE_WRITING.items():
+                self.spark.conf.set(k, v)
             df.write.parquet(path)
         finally:
-            self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 
-PIECE_ROWS, PIECE_BYTES = 512, 4 << 20
+PIECE_ROWS, PIECE_BYTES = 512, 1 << 20
 
 # ASCII white space: space and 0x09-0x0D.
 IS_SPACE = np.zeros(256, dtype=bool)
