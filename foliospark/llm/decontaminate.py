@@ -7,13 +7,18 @@ still meets its original. A slot check then compares how values repeat: inside a
 the pattern of equal slots must be the same on both sides, and along one alignment each
 of the item's slot values must stand for one value of the document.
 
-A document leaks an item if consistent windows cover at least ``least`` of the item's.
+Beside these, windows of all words as they are, without case (Unicode's, not only A-Z's),
+are compared on both sides: capitals then decide nothing, so copies in upper or lower case
+are found too.
+
+A document leaks an item if consistent windows of either kind cover at least ``least`` of
+the item's.
 Before the join, documents' windows pass a filter of fixed size built from the
 benchmark, so few rows are ever shuffled; the join itself is exact.
 
 Items shorter than a window are one window of their own length. Defined cases: null text
 counts as empty and leaks nothing; an item without a window with enough literal tokens
-is compared by its words as they are; repeated rows are judged alike, under one id as one
+is compared by its words alone; repeated rows are judged alike, under one id as one
 document; a null id is never reported; an empty table on either side gives no leak;
 other columns are not read.
 """
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.scratch import Scratch
-from foliospark.llm.textops import U64, hash_ranges, mix64, pieces, string_bytes, window_hashes, words
+from foliospark.llm.textops import U64, Words, hash_ranges, mix64, pieces, string_bytes, window_hashes, words
 
 NAME, NUMBER, UNIT = (U64(k) for k in (0xA11CE5, 0xB0B5, 0xC0FFEE))
 # Units that stand for any unit; fixed list.
@@ -66,6 +71,21 @@ class Template:
     bound: np.ndarray
 
 
+def caseless(column: pa.Array) -> pa.Array:
+    """The column, texts with other than ASCII characters case-folded; neither adds nor drops words."""
+    return pa.array([x if x is None or x.isascii() else x.upper().casefold() for x in column.to_pylist()], pa.large_string())
+
+
+def _trimmed(raw: np.ndarray, found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which words have a word byte, and their start and end without outer punctuation."""
+    # First and last word byte of each word, by nearest-position tables.
+    inside = np.flatnonzero(_WORD[raw])
+    first = np.searchsorted(inside, found.start)
+    last = np.searchsorted(inside, found.end) - 1
+    keep = first <= last
+    return keep, inside[first[keep]], inside[last[keep]] + 1
+
+
 def template(column: pa.Array) -> Template:
     raw, offsets = string_bytes(column)
     found = words(raw, offsets, True)
@@ -73,19 +93,18 @@ def template(column: pa.Array) -> Template:
     if not n:
         none = np.zeros(0, U64)
         return Template(none, none, np.zeros(0, bool), found.bound)
-    # First and last word byte of each word, by nearest-position tables.
-    inside = np.flatnonzero(_WORD[raw])
-    first = np.searchsorted(inside, found.start)
-    last = np.searchsorted(inside, found.end) - 1
-    keep = first <= last
+    keep, start, end = _trimmed(raw, found)
     owner = np.searchsorted(found.bound, np.arange(n), side="right") - 1
     ends = _ENDS[raw[found.end - 1]]
     breaks = np.concatenate([[0], np.cumsum(raw == 10)])
     opening = np.ones(n, dtype=bool)  # at a sentence's or line's start, where capitals say nothing
     opening[1:] = ends[:-1] | (owner[1:] != owner[:-1]) | (breaks[found.start[1:]] > breaks[found.end[:-1]])
-    start, end = inside[first[keep]], inside[last[keep]] + 1
     opening, owner = opening[keep], owner[keep]
-    value = hash_ranges(raw, start, end, True)
+    plain, at, to = raw, start, end
+    if (raw >= 128).any():
+        plain, bounds = string_bytes(caseless(column))
+        _, at, to = _trimmed(plain, words(plain, bounds, True))
+    value = hash_ranges(plain, at, to, True)
     lead = raw[start]
     digits = np.concatenate([[0], np.cumsum(_DIGIT[raw])])
     number = _DIGIT[lead] & (2 * (digits[end] - digits[start]) >= end - start)
@@ -141,14 +160,13 @@ def item_windows(benchmark: DataFrame, width: int, id_col: str = "item_id", text
                     continue
                 one = Template(t.token[a:b], t.value[a:b], t.slot[a:b], np.array([0, b - a]))
                 hashes, ok = window_table(one, w)
-                literal = not ok.any()
-                if literal:  # nothing but placeholders: compare the words themselves
-                    hashes, ok = window_hashes(one.value, w) ^ U64(1), np.ones(b - a - w + 1, bool)
                 places = np.flatnonzero(ok)
                 for at in places:
                     s = slice(at, at + w)
                     pattern, slots = slot_pattern(one.value[s], one.slot[s])
-                    out.append((item, w, int(at), len(places), int(hashes[at : at + 1].view(np.int64)[0]), pattern, slots, literal))
+                    out.append((item, w, int(at), len(places), int(hashes[at : at + 1].view(np.int64)[0]), pattern, slots, False))
+                hashes = (window_hashes(one.value, w) ^ U64(1)).view(np.int64).tolist()
+                out += [(item, w, at, len(hashes), key, 0, [], True) for at, key in enumerate(hashes)]
             if out:
                 columns = list(zip(*out, strict=True))
                 types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_()]
@@ -192,7 +210,7 @@ def document_windows(docs: DataFrame, keys: DataFrame) -> DataFrame:
                 if not len(hit):
                     continue
                 owner = np.searchsorted(t.bound, hit, side="right") - 1
-                found = [slot_pattern(t.value[k : k + w], t.slot[k : k + w]) for k in hit]
+                found = [(0, []) if literal else slot_pattern(t.value[k : k + w], t.slot[k : k + w]) for k in hit]
                 yield pa.record_batch(
                     {
                         "doc_id": ids.take(pa.array(owner)),
@@ -222,10 +240,11 @@ def leaks(
     other = items.withColumnsRenamed({"pattern": "item_pattern", "slots": "item_slots"})
     pairs = met.join(other, ["width", "key"]).filter("pattern = item_pattern AND size(slots) = size(item_slots)")
     pairs = pairs.select(
-        "doc_id", "item_id", "at", "windows", (F.col("pos") - F.col("at")).alias("shift"), "slots", "item_slots"
+        "doc_id", "item_id", "literal", "at", "windows", (F.col("pos") - F.col("at")).alias("shift"), "slots", "item_slots"
     ).distinct()
+    pairs = Scratch(docs.sparkSession, "windows").put(pairs)  # read twice below; texts once
     # Slot consistency along an alignment: one value of the document for each of the item's.
-    line = ["doc_id", "item_id", "shift"]
+    line = ["doc_id", "item_id", "literal", "shift"]
     values = pairs.filter("size(slots) > 0").select(*line, F.explode(F.arrays_zip("item_slots", "slots")).alias("v"))
     torn = (
         values.groupBy(*line, F.col("v.item_slots").alias("item_value"))
@@ -234,16 +253,18 @@ def leaks(
         .agg(F.avg((F.col("lo") != F.col("hi")).cast("double")).alias("torn"))
     )
     sound = pairs.join(torn, line, "left").filter(F.coalesce("torn", F.lit(0.0)) <= 0.34)
-    per_place = sound.groupBy("doc_id", "item_id", "at").agg(
+    per_place = sound.groupBy("doc_id", "item_id", "literal", "at").agg(
         F.max("windows").alias("of"), F.min(F.col("slots") != F.col("item_slots")).alias("differs")
     )
-    return (
-        per_place.groupBy("doc_id", "item_id")
+    kinds = (
+        per_place.groupBy("doc_id", "item_id", "literal")
         .agg(F.count(F.lit(1)).alias("windows"), F.max("of").alias("of"), F.max("differs").alias("reworded"))
         .withColumn("coverage", F.col("windows") / F.col("of"))
         .filter((F.col("coverage") >= least) & (F.col("windows") >= F.least(F.lit(3), F.col("of"))))
-        .select("doc_id", "item_id", "coverage", "windows", "reworded")
     )
+    # The kind that covers more tells; among equals the words as they are.
+    best = kinds.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "literal", "windows", "reworded")).alias("best"))
+    return best.select("doc_id", "item_id", "best.coverage", "best.windows", "best.reworded")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

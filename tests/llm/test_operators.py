@@ -434,6 +434,14 @@ def test_decontamination_checks_slots(spark):
     assert set(found) == {(0, 0)}
 
 
+def test_decontamination_is_blind_to_case(spark):
+    item = "Élodie Straße asked Ángel Óscar and Zoë Müller where Île Saint Louis lies before they went to Łódź and Århus"
+    texts = [f"so it goes {x} and so on" for q in (ITEM, item) for x in (q.upper(), q.lower(), q.title())]
+    found = leaked(spark, texts, (ITEM, item))
+    assert set(found) == {(0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, 1)}
+    assert all(x["coverage"] == 1 and not x["reworded"] for x in found.values())
+
+
 def test_decontamination_edges(spark, odd):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "same"), (None, "no id")], "item_id long, text string")
     assert {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(odd, bench).collect()} == {(4, 3)}
