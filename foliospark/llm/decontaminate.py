@@ -11,6 +11,11 @@ Beside these, windows of all words as they are, without case (Unicode's, not onl
 are compared on both sides: capitals then decide nothing, so copies in upper or lower case
 are found too.
 
+A capitalised word at a sentence's or line's start may be a name or not. Items' windows are
+made with each such word in both typings; as a name it must then stand for itself, as its
+capital says nothing. Documents' windows are made with all such words as literals and with
+all as names. So neither a sentence put before an item nor a moved line break hides it.
+
 A document leaks an item if consistent windows of either kind cover at least ``least`` of
 the item's.
 Before the join, documents' windows pass a filter of fixed size built from the
@@ -27,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +75,14 @@ class Template:
     value: np.ndarray  # hash of what stands there
     slot: np.ndarray  # is it a placeholder?
     bound: np.ndarray
+    maybe: np.ndarray  # a literal here, and a name in the middle of a sentence
+
+    def part(self, a: int, b: int) -> Template:
+        return Template(self.token[a:b], self.value[a:b], self.slot[a:b], np.array([0, b - a]), self.maybe[a:b])
+
+    def named(self, which: np.ndarray) -> Template:
+        """The same with these words as names."""
+        return Template(np.where(which, NAME, self.token), self.value, self.slot | which, self.bound, self.maybe)
 
 
 def caseless(column: pa.Array) -> pa.Array:
@@ -92,7 +106,7 @@ def template(column: pa.Array) -> Template:
     n = len(found.start)
     if not n:
         none = np.zeros(0, U64)
-        return Template(none, none, np.zeros(0, bool), found.bound)
+        return Template(none, none, np.zeros(0, bool), found.bound, np.zeros(0, bool))
     keep, start, end = _trimmed(raw, found)
     owner = np.searchsorted(found.bound, np.arange(n), side="right") - 1
     ends = _ENDS[raw[found.end - 1]]
@@ -109,13 +123,14 @@ def template(column: pa.Array) -> Template:
     digits = np.concatenate([[0], np.cumsum(_DIGIT[raw])])
     number = _DIGIT[lead] & (2 * (digits[end] - digits[start]) >= end - start)
     unit = _UNITS[np.minimum(np.searchsorted(_UNITS, value), len(_UNITS) - 1)] == value
-    name = (lead >= 65) & (lead <= 90) & ~opening
+    capital = (lead >= 65) & (lead <= 90)
+    name = capital & ~opening
     slot = number | unit | name
     token = value.copy()
     token[name] = NAME
     token[unit] = UNIT
     token[number] = NUMBER
-    return Template(token, value, slot, np.searchsorted(owner, np.arange(len(offsets))))
+    return Template(token, value, slot, np.searchsorted(owner, np.arange(len(offsets))), capital & ~slot)
 
 
 def window_table(t: Template, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +158,20 @@ def slot_pattern(value: np.ndarray, slot: np.ndarray) -> tuple[int, list[int]]:
     return int(window_hashes(mix64(pattern + U64(3)), len(pattern)).view(np.int64)[0]), values.view(np.int64).tolist()
 
 
-ITEMS = "item_id long, width int, at int, windows int, key long, pattern long, slots array<long>, literal boolean"
+def typings(t: Template) -> Iterator[Template]:
+    """The template of one window with every choice of its ``maybe`` words as names that leaves enough literals."""
+    at = np.flatnonzero(t.maybe)
+    most = len(t.slot) // 2 - int(t.slot.sum())
+    for k in range(min(len(at), most) + 1):
+        for chosen in combinations(at.tolist(), k):
+            which = np.zeros(len(t.slot), bool)
+            which[list(chosen)] = True
+            yield t.named(which)
+
+
+ITEMS = (
+    "item_id long, width int, at int, windows int, key long, pattern long, slots array<long>, fixed array<int>, literal boolean"
+)
 
 
 def item_windows(benchmark: DataFrame, width: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -158,18 +186,20 @@ def item_windows(benchmark: DataFrame, width: int, id_col: str = "item_id", text
                 w = min(width, b - a)
                 if not w or item is None:
                     continue
-                one = Template(t.token[a:b], t.value[a:b], t.slot[a:b], np.array([0, b - a]))
-                hashes, ok = window_table(one, w)
-                places = np.flatnonzero(ok)
+                one = t.part(a, b)
+                places = np.flatnonzero(window_table(one, w)[1]).tolist()
                 for at in places:
-                    s = slice(at, at + w)
-                    pattern, slots = slot_pattern(one.value[s], one.slot[s])
-                    out.append((item, w, int(at), len(places), int(hashes[at : at + 1].view(np.int64)[0]), pattern, slots, False))
+                    for typed in typings(one.part(at, at + w)):
+                        key = int(window_hashes(typed.token, w).view(np.int64)[0])
+                        pattern, slots = slot_pattern(typed.value, typed.slot)
+                        fixed = np.flatnonzero(typed.maybe[typed.slot]).tolist()
+                        out.append((item, w, at, len(places), key, pattern, slots, fixed, False))
                 hashes = (window_hashes(one.value, w) ^ U64(1)).view(np.int64).tolist()
-                out += [(item, w, at, len(hashes), key, 0, [], True) for at, key in enumerate(hashes)]
+                out += [(item, w, at, len(hashes), key, 0, [], [], True) for at, key in enumerate(hashes)]
             if out:
                 columns = list(zip(*out, strict=True))
-                types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_()]
+                lists = [pa.list_(pa.int64()), pa.list_(pa.int32())]
+                types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), *lists, pa.bool_()]
                 names = [x.strip().split(" ")[0] for x in ITEMS.split(",")]
                 yield pa.record_batch({n: pa.array(c, k) for n, c, k in zip(names, columns, types, strict=True)})
 
@@ -197,30 +227,33 @@ def document_windows(docs: DataFrame, keys: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, 1):
             t = template(part.column(1))
+            none = np.zeros(len(t.slot), bool)
+            words_only, named = Template(t.value, t.value, none, t.bound, none), t.named(t.maybe)
             ids = part.column(0)
+            openings = np.concatenate([[0], np.cumsum(t.maybe)])
             for (w, literal), table in shared.value.items():
-                if literal:
-                    whole = Template(t.value, t.value, np.zeros(len(t.slot), bool), t.bound)
-                    hashes, ok = window_table(whole, w)
-                    hashes = hashes ^ U64(1)
-                else:
-                    hashes, ok = window_table(t, w)
-                place = (hashes.view(np.int64) % FILTER_BITS).astype(np.int64)
-                hit = np.flatnonzero(ok & ((table[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1))
-                if not len(hit):
-                    continue
-                owner = np.searchsorted(t.bound, hit, side="right") - 1
-                found = [(0, []) if literal else slot_pattern(t.value[k : k + w], t.slot[k : k + w]) for k in hit]
-                yield pa.record_batch(
-                    {
-                        "doc_id": ids.take(pa.array(owner)),
-                        "width": pa.array(np.full(len(hit), w), pa.int32()),
-                        "pos": pa.array(hit - t.bound[owner], pa.int64()),
-                        "key": pa.array(hashes[hit].view(np.int64)),
-                        "pattern": pa.array([x[0] for x in found], pa.int64()),
-                        "slots": pa.array([x[1] for x in found], pa.list_(pa.int64())),
-                    }
-                )
+                for one in (words_only,) if literal else (t, named):
+                    hashes, ok = window_table(one, w)
+                    if literal:
+                        hashes = hashes ^ U64(1)
+                    elif one is named:  # without such a word it is the window of t
+                        ok &= openings[w : w + len(ok)] > openings[: len(ok)]
+                    place = (hashes.view(np.int64) % FILTER_BITS).astype(np.int64)
+                    hit = np.flatnonzero(ok & ((table[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1))
+                    if not len(hit):
+                        continue
+                    owner = np.searchsorted(t.bound, hit, side="right") - 1
+                    found = [(0, []) if literal else slot_pattern(one.value[k : k + w], one.slot[k : k + w]) for k in hit]
+                    yield pa.record_batch(
+                        {
+                            "doc_id": ids.take(pa.array(owner)),
+                            "width": pa.array(np.full(len(hit), w), pa.int32()),
+                            "pos": pa.array(hit - t.bound[owner], pa.int64()),
+                            "key": pa.array(hashes[hit].view(np.int64)),
+                            "pattern": pa.array([x[0] for x in found], pa.int64()),
+                            "slots": pa.array([x[1] for x in found], pa.list_(pa.int64())),
+                        }
+                    )
 
     return docs.filter("doc_id IS NOT NULL").mapInArrow(run, DOCS)
 
@@ -239,6 +272,7 @@ def leaks(
     met = document_windows(rows, items.select("width", "literal", "key").distinct())
     other = items.withColumnsRenamed({"pattern": "item_pattern", "slots": "item_slots"})
     pairs = met.join(other, ["width", "key"]).filter("pattern = item_pattern AND size(slots) = size(item_slots)")
+    pairs = pairs.filter("forall(fixed, k -> slots[k] = item_slots[k])")
     pairs = pairs.select(
         "doc_id", "item_id", "literal", "at", "windows", (F.col("pos") - F.col("at")).alias("shift"), "slots", "item_slots"
     ).distinct()

@@ -442,6 +442,15 @@ def test_decontamination_is_blind_to_case(spark):
     assert all(x["coverage"] == 1 and not x["reworded"] for x in found.values())
 
 
+def test_decontamination_of_items_inside_a_line(spark):
+    items = ("Tom paid 12 dollars for apples today", "He gave Mary five red apples from his old basket")
+    texts = [f"we heard that {items[0]} and left", "we heard that Tom paid 15 dollars for apples today and left", f"we heard that {items[1]} and left"]
+    texts += ["then He gave\nAnna five red apples from his old basket", "we heard that Ann paid 15 dollars for apples today and left"]
+    found = leaked(spark, texts, items)
+    assert set(found) == {(0, 0), (1, 0), (2, 1), (3, 1)}
+    assert [found[k]["reworded"] for k in sorted(found)] == [False, True, False, True]
+
+
 def test_decontamination_edges(spark, odd):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "same"), (None, "no id")], "item_id long, text string")
     assert {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(odd, bench).collect()} == {(4, 3)}
