@@ -7,16 +7,18 @@
   host, from sums of text posteriors by grouped aggregation. A row's own posterior is
   taken out of its host's and suffix's sums before it meets them.
 
-Models are counted on about ``sample`` rows chosen by hash; everything else covers all
-rows. Hosts are pre-aggregated before any shuffle. Host sums go to every task while there
+Declared values are counted over all rows: those on ``LANGUAGE_ROWS`` rows, or on a hundredth
+of them where that is less, are the languages, however many. A language's text model is
+counted on about ``sample`` rows of its own, chosen by hash, so a rare one gets as good a
+model, and the least fit does not move with the corpus; everything else covers all rows. Hosts are pre-aggregated before any shuffle. Host sums go to every task while there
 are at most ``KNOWN_HOSTS`` of them; beyond that they are joined with salted keys.
 
 A row is accepted if it has letters, its best language's posterior is at least
 ``least`` and its text fits that language's model about as well as the sample does.
 
 Defined cases: null text counts as empty: no letters, language ``und``, not accepted; a
-null declaration, url or host brings no evidence; a declared value under a hundredth of
-the sample is no language here; an empty table gives an empty result; repeated rows get
+null declaration, url or host brings no evidence; a declared value on fewer
+rows than that is no language here; an empty table gives an empty result; repeated rows get
 equal results; other columns pass through, and only then are they read.
 """
 
@@ -38,6 +40,7 @@ BUCKETS = 1 << 16
 TEMPER = 0.3  # of the text's log-likelihood
 PRIOR_ROWS = 8.0  # rows that a parent's prior counts for
 KNOWN_HOSTS = 50_000
+LANGUAGE_ROWS = 50  # rows that make a declared value a language
 SALTS = 64
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -82,15 +85,11 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit_text(docs: DataFrame, sample: int, seed: int = 11) -> TextModel:
-    """docs: id, text, declared. Counts on about ``sample`` rows."""
-    total = docs.count()
-    share = min(1.0, sample / max(total, 1))
-    chosen = docs.filter(F.col("declared").isNotNull())
-    chosen = chosen.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    by_language = chosen.groupBy("declared").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "declared")
-    found = by_language.limit(64).collect()
-    seen = sum(r["n"] for r in found)
-    languages = sorted(r["declared"] for r in found if r["n"] * 100 >= seen)
+    """docs: id, text, declared. Counts on about ``sample`` rows of each language."""
+    by_language = docs.filter(F.col("declared").isNotNull()).groupBy("declared").agg(F.count(F.lit(1)).alias("n"))
+    seen = by_language.agg(F.sum("n")).first()[0] or 0
+    rows_of = {r["declared"]: r["n"] for r in by_language.filter(F.col("n") >= min(LANGUAGE_ROWS, seen / 100)).collect()}
+    languages = sorted(rows_of)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -114,7 +113,10 @@ def fit_text(docs: DataFrame, sample: int, seed: int = 11) -> TextModel:
                 }
             )
 
-    known = chosen.filter(F.col("declared").isin(languages)).select("text", "declared")
+    parts = [F.lit(x) for name in languages for x in (name, int(min(1.0, sample / rows_of[name]) * 1_000_000) + 1)]
+    share = F.create_map(*parts)[F.col("declared")] if languages else F.lit(0)
+    # With the text, as ids may be null.
+    known = docs.filter(F.pmod(F.xxhash64(F.lit(seed), "id", "text"), F.lit(1_000_000)) < share).select("text", "declared")
     counted = known.mapInArrow(count, "language string, code int, n long").groupBy("language", "code")
     rows = counted.agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows a language
     counts = np.zeros((BUCKETS, len(languages)))

@@ -388,6 +388,16 @@ def test_language_fuses_evidence(spark):
     assert kept.columns == df.columns and kept.count() == sum(x["accepted"] for x in out)
 
 
+def test_language_keeps_rare_languages(spark):
+    r = random.Random(5)
+    rows = [(i, spoken(r, "en" if i % 2 else "de", 12), "en" if i % 2 else "de", None) for i in range(12_000)]
+    rows += [(None if i % 2 else 20_000 + i, spoken(r, "fr", 12), "fr", None) for i in range(90)]  # under a hundredth
+    out = langid.identify(documents(spark, rows)).filter("lang = 'fr'").collect()
+    assert len(out) == 90 and sum(x["language"] == "fr" and x["accepted"] for x in out) >= 88
+    many = spark.createDataFrame([(i, f"text of {i % 70}", f"l{i % 70}") for i in range(700)], "id long, text string, declared string")
+    assert len(langid.fit_text(many, 8000).languages) == 70
+
+
 def test_language_edges(spark, odd):
     assert langid.identify(odd).count() == 7
     assert langid.identify(odd.limit(0)).count() == 0
