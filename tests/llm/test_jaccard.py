@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from foliospark.llm import jaccard
 from foliospark.llm.jaccard import NO_ID, Bands, close_pairs, difference, jaccard_components, sketch
 from foliospark.llm.textops import U64, mix64
 
@@ -72,6 +73,15 @@ def test_equals_brute_force(spark, width, p, q):
     assert result(spark, rows, width, p, q) == brute(rows, width, p, q)
 
 
+def test_join_with_deletion_neighbourhoods(spark, monkeypatch):
+    """As allocated for 10^10 sets, where the cost rule takes them."""
+    assert any(d for _, d in Bands(90, 100, 10**10).of[:10])
+    real = jaccard.key_rows
+    monkeypatch.setattr(jaccard, "key_rows", lambda docs, width, p, q, sets: real(docs, width, p, q, 10**10))
+    rows = planted(11)
+    assert result(spark, rows, 3, 90, 100) == brute(rows, 3, 90, 100)
+
+
 def test_large_near_copy_group(spark):
     """Many variants of one text, linked only through others, over more than one block."""
     r = random.Random(5)
