@@ -1,38 +1,46 @@
 """Byte-pair encoding by a tokenization automaton.
 
-The merges are compiled in order. Merging (u, v) inserts one gadget into the
-automaton over tokens: the state behind u loses its arc v, and the new token uv gets
-the arcs into u on its left and the state behind v, as it stands then, on its right.
-What a later merge takes from v's state no longer touches uv's, so a gadget is three
-numbers (left, right, time) and whether the state behind x has the arc y follows from
-walking gadgets back in time. Those answers fill the transition table as they are
-first needed.
-
-A pre-split word is then a path from its start to its end: the automaton accepts
-exactly one sequence of tokens for each word, the one that merging gives, so a walk
-that takes the longest arc first and never returns to a dead position finds it in
-time linear in the word. Decoding emits the arcs' labels.
-
-Normalisation, pre-splitting and added tokens follow the tokenizer file. Defined
-cases: null counts as empty; an empty text has no ids and decodes to an empty string.
+The merges are compiled in order into an automaton over tokens, held in integer arrays.
+It starts with one state and all symbols as arcs. Merging (u, v) inserts one gadget: the
+state behind u loses its arc v, and a new state behind uv takes over what the state behind
+v has as it stands then, while arcs uv enter wherever arcs u do. A gadget is three numbers
+(left, right, time), and ``has_arc`` reads an arc off them. A merge whose arc has gone
+already inserts nothing. What is left accepts exactly one sequence of tokens for each
+word: the one that merging gives.
+
+That automaton is made deterministic over letters. A letter state holds, for every token
+that may have begun and not ended, the token state it began in and its place in the trie
+of arc labels; as each prefix has one path only, exactly one token can end at a letter,
+and it is the letter state's label. ``next`` (state and letter to state) and ``label`` are
+the tables; a transition is filled in when it is first taken, and the tables start anew
+beyond ``STATES``. Encoding a pre-split word is one table step a letter from left to right;
+the labels, read back from the last letter, are its tokens. Nothing is ever tried twice, so
+a word takes time in proportion to its length. Decoding emits the labels.
+
+Normalisation, pre-splitting and added tokens follow the tokenizer file. Texts of letters up
+to Latin Extended-A are lower-cased and split here; for any other text the tokenizers
+library's own normaliser and splitter are run, since its Unicode tables (classes, case,
+combining classes) are of other versions than Python's and decide the ids. Defined cases:
+null counts as empty; an empty text has no ids and decodes to an empty string; a null id
+stays null; repeated rows each get their row; an empty table gives an empty result; columns
+other than those named are not read.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 END = "</w>"
-CACHE = 700_000  # pieces remembered by one worker; the table is emptied when full
-ARCS = 2_000_000  # transitions remembered by one worker
+CACHE = 120_000  # pieces in each of the two generations that one worker remembers
+STATES = 150_000  # letter states of one worker
 
 
 def byte_letters() -> list[str]:
@@ -54,95 +62,111 @@ BEYOND = re.compile("[\xb2\xb3\xb9\xbc-\xbe\u0180-\U0010ffff]")
 
 
 class Automaton:
-    """Tokens are numbered by their time: symbols first, then one a merge."""
+    """Tokens are numbered by their time: symbols first, then one a merge. The state behind a token has its number."""
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], end: str = END) -> None:
         made = {a + b for a, b in merges}
         names = [t for t in vocabulary if t not in made]
         self.symbols = len(names)
         number = {t: i for i, t in enumerate(names)}
-        self.left, self.right = [-1] * self.symbols, [-1] * self.symbols
-        self.meets: dict[tuple[int, int], int] = {}
+        self.left, self.right = array("i", [-1] * self.symbols), array("i", [-1] * self.symbols)
+        self.lost: dict[int, int] = {}  # state << 20 | arc to the time when the gadget took it
         self.unmade: set[int] = set()
         for a, b in merges:
             self._gadget(number[a], number[b], number.setdefault(a + b, len(number)))
-        self.id_of = [vocabulary[t] for t in number]
-        # A word's end mark is one letter here, which no token has alone.
-        self.mark = ""
+        self.id_of = array("i", [vocabulary[t] for t in number])
         self.labels = list(number)
-        made_at = ((t, i) for t, i in number.items() if i not in self.unmade)
-        self.arcs = {(t[: -len(end)] + self.mark if t.endswith(end) else t): i for t, i in made_at}
-        # The longest arc that starts with given three letters.
-        self.reach: dict[str, int] = {}
-        for t in self.arcs:
-            self.reach[t[:3]] = max(len(t), self.reach.get(t[:3], 2))
-        self.table: dict[int, bool] = {}
+        # A word's end mark is one letter here, which no token has alone.
+        self.mark = "\ue000"
+        self.letters: dict[str, int] = {}
+        self.trie: dict[int, int] = {}  # place << 9 | letter to place
+        self.token_at = array("i", [-1])  # the arc whose label ends at a place of the trie
+        self.length = array("i", [0] * len(number))  # letters of a label
+        for t, i in number.items():
+            if i not in self.unmade:
+                self._spell(t[: -len(end)] + self.mark if t.endswith(end) else t, i)
+        self._start()
 
     def _gadget(self, u: int, v: int, uv: int) -> None:
         self.left.append(u)
         self.right.append(v)
         # Where the automaton has no v behind u, earlier merges never leave the two side by side.
-        if u in self.unmade or v in self.unmade or not self._trace(u, v):
+        if u in self.unmade or v in self.unmade or not self.has_arc(u, v):
             self.unmade.add(uv)
         else:
-            self.meets[u, v] = uv
-
-    def follows(self, x: int, y: int) -> bool:
-        """Whether the state behind x has the arc y."""
-        key = x << 20 | y
-        known = self.table.get(key)
-        if known is None:
-            if len(self.table) >= ARCS:
-                self.table.clear()
-            known = self.table[key] = self._trace(x, y)
-        return known
-
-    def _trace(self, x: int, y: int) -> bool:
-        before = len(self.left) + 1
+            self.lost[u << 20 | v] = uv
+
+    def has_arc(self, x: int, y: int) -> bool:
+        """Whether the state behind x has the arc y: no gadget took it from a state that x's is a copy of, nor y's from u."""
+        left, right, lost, now = self.left, self.right, self.lost, len(self.left)
         while True:
-            if self.meets.get((x, y), before) < before:
+            if lost.get(x << 20 | y, now) < now:
                 return False
             if x > y:
                 if x < self.symbols:
                     return True
-                before, x = x, self.right[x]
+                now, x = x, right[x]  # x's state was copied then
             else:
                 if y < self.symbols:
                     return True
-                # The leftmost of equal merges comes first, hence up to y's own time.
-                before, y = y + 1, self.left[y]
+                now, y = y + 1, left[y]  # of equal merges the leftmost comes first, hence up to y's own time
+
+    def _spell(self, label: str, token: int) -> None:
+        place = 0
+        for letter in label:
+            key = place << 9 | self.letters.setdefault(letter, len(self.letters))
+            place = self.trie.setdefault(key, len(self.token_at))
+            if place == len(self.token_at):
+                self.token_at.append(-1)
+        self.token_at[place] = token
+        self.length[token] = len(label)
+
+    def _start(self) -> None:
+        """Letter tables with the start state only: one token may begin, in the state before all tokens."""
+        self.next: dict[int, int] = {}  # state << 9 | letter to state
+        self.label = array("i", [-1])
+        self.begun = [(0,)]  # of each state: token before (plus one) << 20 | place in the trie, for each begun token
+        self.number: dict[tuple[int, ...], int] = {}
+
+    def _step(self, state: int, letter: int) -> int:
+        """Fill in one transition."""
+        begun, ends = [], -1
+        for item in self.begun[state]:
+            place = self.trie.get((item & 0xFFFFF) << 9 | letter)
+            if place is not None:
+                before = item >> 20
+                begun.append(before << 20 | place)
+                token = self.token_at[place]
+                if ends < 0 <= token and (not before or self.has_arc(before - 1, token)):
+                    ends = token
+        if ends >= 0:
+            begun.append(ends + 1 << 20)
+        key = tuple(begun)
+        to = self.number.get(key)
+        if to is None:
+            to = self.number[key] = len(self.begun)
+            self.begun.append(key)
+            self.label.append(ends)
+        self.next[state << 9 | letter] = to
+        return to
 
     def path(self, word: str) -> list[int]:
         """Tokens of one word (letters for bytes, without the end mark)."""
-        word += self.mark
-        n, arcs, reach, table = len(word), self.arcs, self.reach, self.table
-        dead: set[int] = set()
-        tokens: list[int] = []
-        ends = [0]
-        at, stop = 0, reach.get(word[:3], 2)
-        last = -1
-        while at < n:
-            while stop > at:
-                token = arcs.get(word[at:stop])
-                if token is not None and stop not in dead:
-                    if last < 0:
-                        break
-                    fits = table.get(last << 20 | token)
-                    if fits or (fits is None and self.follows(last, token)):
-                        break
-                stop -= 1
-            if stop > at:
-                tokens.append(token)
-                ends.append(stop)
-                at, last = stop, token
-                stop = at + reach.get(word[at : at + 3], 2)
-            else:
-                if not tokens:
-                    raise ValueError(f"no path for {word!r}")
-                dead.add(at)
-                tokens.pop()
-                ends.pop()
-                stop, at, last = at - 1, ends[-1], tokens[-1] if tokens else -1
+        if len(self.begun) > STATES:
+            self._start()
+        table, labels, state, ends = self.next, self.label, 0, []
+        for letter in map(self.letters.__getitem__, word + self.mark):
+            to = table.get(state << 9 | letter)
+            state = self._step(state, letter) if to is None else to
+            ends.append(labels[state])
+        tokens, at = [], len(ends)
+        while at:
+            token = ends[at - 1]
+            if token < 0:
+                raise ValueError(f"no path for {word!r}")
+            tokens.append(token)
+            at -= self.length[token]
+        tokens.reverse()
         return tokens
 
 
@@ -156,11 +180,14 @@ class Tokenizer:
         self.automaton = Automaton(model["vocab"], merges, model["end_of_word_suffix"])
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         longest_first = sorted(self.added, key=len, reverse=True)
-        self.special = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.added else None
+        self.special = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.added else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.any_script = regex.compile(pattern, regex.V0).findall
         self.latin = LATIN.findall if pattern == LATIN_OF else None
-        self.letters = byte_letters()
+        self.spec = {k: spec[k] for k in ("version", "normalizer")} | {"added_tokens": []}
+        self.spec["pre_tokenizer"] = spec["pre_tokenizer"]["pretokenizers"][0]
+        self.spec["model"] = {"type": "BPE", "vocab": {}, "merges": []}
+        self.library = None  # its normaliser and splitter, once a text needs them
+        self.byte_letter = byte_letters()
         self.label_of = {str(i): t for t, i in model["vocab"].items()}
         self.label_of |= {str(i): t for t, i in self.added.items()}
         self.known: dict[str, str] = _Known(self._piece)  # piece to ids
@@ -168,17 +195,23 @@ class Tokenizer:
 
     def _piece(self, piece: str) -> str:
         if not (piece.isascii() and piece.isprintable()):
-            piece = "".join([self.letters[b] for b in piece.encode("utf-8", "surrogatepass")])
+            piece = "".join([self.byte_letter[b] for b in piece.encode("utf-8", "surrogatepass")])
         ids = self.automaton.id_of
         return " ".join([str(ids[t]) for t in self.automaton.path(piece)])
 
     def pieces(self, text: str) -> list[str]:
-        return self.latin(text) if self.latin and not BEYOND.search(text) else self.any_script(text)
+        """Normalised and split."""
+        if self.latin and not BEYOND.search(text):  # no character there composes or is reordered
+            return self.latin(text.lower())
+        if self.library is None:
+            from tokenizers import Tokenizer as Library
+
+            self.library = Library.from_str(json.dumps(self.spec))
+        normal = self.library.normalizer.normalize_str(text)
+        return [piece for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
     def _plain(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return list(map(self.known.__getitem__, self.pieces(text.lower())))
+        return list(map(self.known.__getitem__, self.pieces(text)))
 
     def paths(self, text: str | None) -> list[str]:
         """The ids of each piece, in decimal with one space between."""
@@ -209,16 +242,20 @@ class Tokenizer:
 
 
 class _Known(dict):
-    """Pieces already encoded; bounded."""
+    """Pieces already made, in two generations: a full one takes the place of the one before it."""
 
     def __init__(self, make) -> None:
         super().__init__()
         self.make = make
+        self.before: dict[str, str] = {}
 
     def __missing__(self, piece: str) -> str:
-        made = self.make(piece)
+        made = self.before.get(piece)
+        if made is None:
+            made = self.make(piece)
         if len(piece) <= 128:
             if len(self) >= CACHE:
+                self.before = dict(self)
                 self.clear()
             self[piece] = made
         return made

@@ -190,6 +190,30 @@ def test_bpe_equals_library():
         assert own.emit(own.paths(text)) == own.decode(want.ids) == library.decode(want.ids, skip_special_tokens=False)
 
 
+def test_bpe_equals_library_at_every_kind_of_character():
+    """Alone, doubled between letters, and with two marks; ideographs, syllables and unassigned ones one in 64."""
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(tokenizer_path()), bpe.tokenizer(tokenizer_path())
+    many = {"Cn", "Co", "Lo"}
+    kept = [c for c in range(0x110000) if unicodedata.category(chr(c)) not in many or c < 0x3100 or c % 64 == 0]
+    texts = [f"a{x}{x}b {x}\u0334\u0301 {x}" for x in map(chr, kept) if not 0xD800 <= ord(x) < 0xE000]
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert own.encode(text) == want.ids, ascii(text)
+
+
+def test_letter_tables_start_anew_when_full(monkeypatch):
+    own = bpe.Tokenizer(open(tokenizer_path(), encoding="utf-8").read())
+    words = ["".join(random.Random(i).choice("etaoins") for _ in range(9)) for i in range(400)]
+    want = [own.automaton.path(w) for w in words]
+    monkeypatch.setattr(bpe, "STATES", 50)
+    monkeypatch.setattr(bpe, "CACHE", 7)
+    assert [own.automaton.path(w) for w in words] == want
+    assert [own.encode(w) for w in words * 2] == [[own.automaton.id_of[t] for t in p] for p in want] * 2
+
+
 def test_automaton_of_few_merges_is_exact():
     """Every word over a small alphabet, against merging by rank."""
     import itertools
