@@ -38,6 +38,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from foliospark.llm.textops import HELD
+
 END = "</w>"
 CACHE = 120_000  # pieces in each of the two generations that one worker remembers
 STATES = 150_000  # letter states of one worker
@@ -267,6 +269,9 @@ def tokenizer(path: str) -> Tokenizer:
         return Tokenizer(f.read())
 
 
+HELD.append(tokenizer.cache_clear)
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id, n_tokens, ids (array<int>), decoded text of every row."""
 

@@ -12,16 +12,20 @@ band, are passed over. The set whose choice ends first has only segments that it
 partner has chosen too, so similar sets always meet. A set with too few segments that
 aren't empty indexes them all.
 
-``allocate`` picks m and d for each band by cost: rows written against pairs met by
-chance.
+``measured`` picks m and d for each band by cost: rows written against pairs met by chance,
+both counted on a sample of at most ``SAMPLE_SETS`` distinct sets and ``SAMPLE_SHINGLES``
+shingles and carried on to all sets. Any choice gives the same links.
 
-Equal sets are one node from the start, so exact copies never meet each other. Keys met
+Equal sets are one node from the start, so exact copies never meet each other. A node's
+number is a 64-bit hash; sets are equal only if a second 64-bit hash is equal too, and a
+number that two different sets share is changed for all but one of them. Keys met
 by one node only are dropped by an aggregate that carries two numbers a key. What is
 left is joined in three rounds of candidates: every node with its key's least node,
 then the nearest pairs of different components within a key, then all such pairs, in
-blocks. A pair passes only if a parity sketch allows it (its Hamming distance never
-exceeds the sets' difference) and is then verified on the whole sets. No link between
-components is lost, and pairs inside a component are not needed.
+blocks. The nodes of a key's most frequent component are never dealt against each other.
+A pair passes only if a parity sketch allows it (its Hamming distance never
+exceeds the sets' difference) and is then verified on the whole sets, one row a node.
+No link between components is lost, and pairs inside a component are not needed.
 
 Sets are compared by 64-bit hashes of their shingles.
 
@@ -29,17 +33,17 @@ Defined cases: null text counts as empty; a text without words has an empty set
 links; one with fewer words than a shingle has its whole sequence as one shingle;
 repeated rows are copies; a null id is kept, never the smallest of a component unless
 all its ids are null; an empty table gives an empty result; other columns are not read.
+``keep_one`` judges rows, not ids: rows are told apart by id and text.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.components import merge_components
@@ -50,7 +54,8 @@ NO_ID = (1 << 63) - 1  # stands for a null id, so that it is the largest
 BLOCK = 1024  # nodes of a key that one task compares at a time
 PAIR_COST = 0.01  # a pair met by chance against a row written
 FILTER_BITS = 1 << 23
-SEEN = 200_000
+SEEN = 100_000
+SAMPLE_SETS, SAMPLE_SHINGLES = 1_500, 1_000_000  # that allocation is measured on
 
 
 def difference(total: int, p: int, q: int) -> int:
@@ -61,29 +66,38 @@ def difference(total: int, p: int, q: int) -> int:
 class Bands:
     """Size bands, each with its segments m and deletion segments d."""
 
-    def __init__(self, p: int, q: int, sets: int) -> None:
+    def __init__(self, p: int, q: int) -> None:
         self.p, self.q = p, q
         edge = [1]
         while edge[-1] < 1 << 31:
             edge.append(edge[-1] * 7 // 4 + 1)
         self.edge = np.array(edge)
-        self.of = [self.allocate(int(a), int(b), sets) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        self.of = [self.choices(k)[0] for k in range(len(edge) - 1)]
 
-    def allocate(self, low: int, high: int, sets: int) -> tuple[int, int]:
-        need = difference(2 * (high - 1), self.p, self.q) + 1
+    def choices(self, band: int) -> list[tuple[int, int]]:
+        """(m, d) to choose from: no deletion segments, or as many as an eighth, a quarter or half of the differences."""
+        need = difference(2 * (int(self.edge[band + 1]) - 1), self.p, self.q) + 1
         if need == 1:
-            return 0, 0  # only equal sets are linked, and those are one node
-        others = sets / 8 + 1  # of the same band, roughly
-        best, choice = math.inf, (need, 0)
-        for d in range(0, need // 2 + 1, max(1, need // 64)):
-            m = math.ceil(1.08 * (need - d)) + 1  # a few more, as some are empty
-            x = low / m
-            one, few = math.exp(-2 * x) * x**2, math.exp(-2 * x) * (1 + x) ** 2
-            # Singletons meet if they are the same shingle, say one in a hundred.
-            cost = (need - 2 * d) + d * (2 + x) + PAIR_COST * others * ((need - 2 * d) * one / 100 + d * few)
-            if cost < best:
-                best, choice = cost, (m, d)
-        return choice
+            return [(0, 0)]  # only equal sets are linked, and those are one node
+        # A few segments more, as some are empty.
+        return [(math.ceil(1.08 * (need - d)) + 1, d) for d in sorted({0, need // 8, need // 4, need // 2})]
+
+    def measure(self, sample: list[np.ndarray], sets: int) -> Bands:
+        """Choose by what the sample's sets write and meet, carried on to so many sets."""
+        grown = max(1.0, sets / max(1, len(sample)))
+        members: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for one in sample:
+            for band, most in self.bands(len(one)):
+                members.setdefault(band, []).append((one, most))
+        for band, own in members.items():
+            costs = []
+            for m, d in self.choices(band):
+                keys = [self.keys_in(one, band, most, m, d) for one, most in own]
+                _, met = np.unique(np.concatenate(keys), return_counts=True)
+                pairs = float((met * (met - 1) / 2).sum())
+                costs.append((sum(map(len, keys)) * grown + PAIR_COST * pairs * grown**2, m, d))
+            self.of[band] = min(costs)[1:]
+        return self
 
     def bands(self, n: int) -> list[tuple[int, int]]:
         """The set's own band, and the next if a linked set can lie there; with the most differences there."""
@@ -96,29 +110,30 @@ class Bands:
         """Index keys of a sorted set of shingle hashes."""
         if not len(s):
             return s
-        parts = []
+        parts = [self.keys_in(s, band, most, *self.of[band]) for band, most in self.bands(len(s))]
+        return np.concatenate(parts)
+
+    def keys_in(self, s: np.ndarray, band: int, most: int, m: int, d: int) -> np.ndarray:
+        if not m:
+            return np.zeros(0, U64)
         element = mix64(s + U64(0x2545F4914F6CDD1D))
         sums = np.zeros(len(s) + 1, U64)
         np.cumsum(element, out=sums[1:])
-        for band, most in self.bands(len(s)):
-            m, d = self.of[band]
-            if not m:
-                continue
-            # Segments are equal slices of the hash space, so each is a run of the sorted set.
-            segment = ((s >> U64(32)) * U64(m)) >> U64(32)
-            at = np.searchsorted(segment, np.arange(m + 1, dtype=U64))
-            salt = mix64(np.arange(m, dtype=U64) + U64(band << 32))
-            content = sums[at[1:]] - sums[at[:-1]]
-            full = np.flatnonzero(at[d + 1 :] > at[d:-1]) + d
-            wanted = most + 1 - 2 * d
-            chosen = full[: max(0, wanted)] if len(full) >= wanted else np.arange(d, m)
-            chosen = np.concatenate([np.arange(d), chosen])
-            parts.append(mix64(content[chosen] + salt[chosen]))
-            if d:
-                stop = at[d]
-                which = segment[:stop].astype(np.int64)
-                parts.append(mix64(content[which] - element[:stop] + salt[which]))
-        return np.concatenate(parts) if parts else np.zeros(0, U64)
+        # Segments are equal slices of the hash space, so each is a run of the sorted set.
+        segment = ((s >> U64(32)) * U64(m)) >> U64(32)
+        at = np.searchsorted(segment, np.arange(m + 1, dtype=U64))
+        salt = mix64(np.arange(m, dtype=U64) + U64(band << 32))
+        content = sums[at[1:]] - sums[at[:-1]]
+        full = np.flatnonzero(at[d + 1 :] > at[d:-1]) + d
+        wanted = most + 1 - 2 * d
+        chosen = full[: max(0, wanted)] if len(full) >= wanted else np.arange(d, m)
+        chosen = np.concatenate([np.arange(d), chosen])
+        found = mix64(content[chosen] + salt[chosen])
+        if not d:
+            return found
+        stop = at[d]
+        which = segment[:stop].astype(np.int64)
+        return np.concatenate([found, mix64(content[which] - element[:stop] + salt[which])])
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -130,51 +145,59 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(bool)).tobytes()
 
 
-@lru_cache(maxsize=8)
-def _bands(p: int, q: int, sets: int) -> Bands:
-    return Bands(p, q, sets)
-
-
 def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
-def _set_id(s: np.ndarray) -> int:
-    return int(mix64(s).sum(dtype=U64)) if len(s) else 0
+def set_hash(s: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit hashes of a set."""
+    if not len(s):
+        return 0, 0
+    return int(mix64(s).sum(dtype=U64)), int(mix64(s * U64(0x9E3779B97F4A7C15) + U64(0xD1B54A32D192ED03)).sum(dtype=U64))
 
 
 def _as_longs(values: list[int]) -> pa.Array:
     return _longs(np.array(values, dtype=U64))
 
 
+def _signed(v: int) -> int:
+    return v - (1 << 64) if v >> 63 else v
+
+
+Renamed = dict[tuple[int, int], int]  # both hashes of a set whose first another set has too, to its number
+
+
 def node_rows(docs: DataFrame, width: int) -> DataFrame:
-    """id, n, node, sketch of each row of docs (id, text)."""
+    """id, h, n, node, check, sketch of each row of docs (id, text, h)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, 1):
             found = list(shingle_sets(words(*string_bytes(part.column(1))), width))
+            hashes = [set_hash(s) for s in found]
             yield pa.record_batch(
                 {
                     "id": part.column(0),
+                    "h": part.column(2),
                     "n": pa.array([len(s) for s in found], pa.int64()),
-                    "node": _as_longs([_set_id(s) for s in found]),
+                    "node": _as_longs([x for x, _ in hashes]),
+                    "check": _as_longs([x for _, x in hashes]),
                     "sketch": pa.array([sketch(s) for s in found], pa.binary()),
                 }
             )
 
-    return docs.mapInArrow(run, "id long, n long, node long, sketch binary")
+    return docs.mapInArrow(run, "id long, h long, n long, node long, check long, sketch binary")
 
 
-def key_rows(docs: DataFrame, width: int, p: int, q: int, sets: int) -> DataFrame:
+def key_rows(docs: DataFrame, width: int, bands: Bands, renamed: Renamed) -> DataFrame:
     """key, node: the index rows, those of equal sets once a task (as far as ``SEEN`` nodes back)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = _bands(p, q, sets)
         seen: set[int] = set()
         for part in pieces(batches, 1):
             ids, keys = [], []
             for s in shingle_sets(words(*string_bytes(part.column(1))), width):
-                node = _set_id(s)
+                both = set_hash(s)
+                node = renamed.get(both, both[0])
                 if node in seen or not len(s):
                     continue
                 if len(seen) >= SEEN:
@@ -186,14 +209,13 @@ def key_rows(docs: DataFrame, width: int, p: int, q: int, sets: int) -> DataFram
                 node = np.repeat(np.array(ids, U64), [len(k) for k in keys])
                 yield pa.record_batch({"key": _longs(np.concatenate(keys)), "node": _longs(node)})
 
-    return docs.mapInArrow(run, "key long, node long")
+    return docs.select("id", "text").mapInArrow(run, "key long, node long")
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """One-hash filter of fixed size over column ``id``; it may pass others too."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    filled = ids.groupBy((F.shiftright(bit, 5)).alias("at")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}) % 32 as int))")).alias("bits")
+def row_filter(rows: DataFrame) -> np.ndarray:
+    """One-hash filter of fixed size over rows (id, h); it may pass others too."""
+    filled = rows.groupBy(F.shiftright(_bit(), 5).alias("at")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id, h), {FILTER_BITS}) % 32 as int))")).alias("bits")
     )
     table = filled.toArrow()  # at most FILTER_BITS / 32 rows
     out = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
@@ -201,27 +223,40 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def set_rows(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
-    """node and whole set (8 bytes a shingle) of the documents whose ids are wanted, and few others."""
-    bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
+def _bit() -> Column:
+    return F.pmod(F.xxhash64("id", "h"), F.lit(FILTER_BITS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
 
-        for part in pieces(batches, 1):
-            place = part.column(2).to_numpy()
-            part = part.filter(pa.array((bits.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1))
-            part = part.filter(pc.is_valid(part.column(0)))
-            found = [s for s in shingle_sets(words(*string_bytes(part.column(1))), width)]
-            yield pa.record_batch(
-                {
-                    "node": _as_longs([_set_id(s) for s in found]),
-                    "whole": pa.array([s.tobytes() for s in found], pa.binary()),
-                }
-            )
+def set_rows(docs: DataFrame, width: int, wanted: DataFrame, renamed: Renamed) -> DataFrame:
+    """node and whole set (8 bytes a shingle): one row for each of ``wanted`` (node, id, h: one of its rows).
+
+    Documents pass a filter over (id, h) first, so that few others are read; a task gives a node
+    once (as far as ``SEEN`` nodes back), and what is not wanted or comes again goes before the sets are used.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(row_filter(wanted))
 
-    placed = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit"))
-    return placed.mapInArrow(run, "node long, whole binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            place = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1))
+            for part in pieces(iter([batch]), 1):
+                ids, wholes = [], []
+                for s in shingle_sets(words(*string_bytes(part.column(1))), width):
+                    both = set_hash(s)
+                    node = renamed.get(both, both[0])
+                    if node in seen or not len(s):
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(node)
+                    ids.append(node)
+                    wholes.append(s.tobytes())
+                if ids:
+                    yield pa.record_batch({"node": _as_longs(ids), "whole": pa.array(wholes, pa.binary())})
+
+    found = docs.select("id", "text", _bit().alias("bit")).mapInArrow(run, "node long, whole binary")
+    return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def verify(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
@@ -328,15 +363,21 @@ def candidate_pairs(members: DataFrame, known: DataFrame, p: int, q: int, neares
 
     members: key, node, label. known: node, n, sketch. A key's nodes are dealt into
     blocks; each pair of blocks is compared by one task, which streams over its sorted
-    rows. Sketches join last, for keys with several labels only.
+    rows. The nodes of its most frequent label are blocks of their own, which meet the
+    others' blocks only. Sketches join last, for keys with several labels only.
     """
-    sized = members.groupBy("key").agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("k")
+    sized = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
+    sized = sized.groupBy("key").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("k"))
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    open_keys = sized.filter("top.k < k").select(
+        "key", F.col("top.label").alias("top"), blocks(F.col("k") - F.col("top.k")).alias("few"), blocks(F.col("top.k")).alias("many")
     )
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    open_keys = sized.filter("lo <> hi").select("key", blocks.alias("blocks"))
-    placed = members.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    placed = members.join(open_keys, "key")
+    of_top = F.col("label") == F.col("top")
+    own = F.when(of_top, F.col("few") + F.pmod(F.xxhash64("node"), F.col("many"))).otherwise(F.pmod(F.xxhash64("node"), F.col("few")))
+    last = F.when(of_top, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
+    placed = placed.select("key", "node", "label", own.cast("int").alias("own"), last.alias("last"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).select(
         "key",
         F.least("own", "other").alias("bi"),
         F.greatest("own", "other").alias("bj"),
@@ -380,30 +421,53 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def jaccard_components(
-    docs: DataFrame, width: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """id, n_shingles, component_id of each row: links are similarities of p/q or more."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
+def _sampled(rows: DataFrame, width: int, nodes: DataFrame, renamed: Renamed) -> tuple[list[np.ndarray], int]:
+    """A bounded sample of the distinct sets, by hash, and how many sets there are."""
+    sets, shingles = nodes.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if not sets:
+        return [], 0
+    share = min(1.0, SAMPLE_SETS / sets, SAMPLE_SHINGLES / shingles)
+    chosen = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1))
+    found = set_rows(rows, width, chosen.select("node", "low.id", "low.h"), renamed).select("whole").toArrow()
+    return [np.frombuffer(x.as_buffer(), U64) for x in found.column(0)], sets
+
+
+def _distinct_sets(base: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, Renamed]:
+    """base with final numbers; node, low (id, h), n, sketch of each distinct set; the numbers that were changed."""
+    filled = base.filter("n > 0")
+    made = [F.min(F.struct("id", "h")).alias("low"), F.first("n").alias("n"), F.first("sketch").alias("sketch")]
+    nodes = scratch.put(filled.groupBy("node").agg(*made, F.min("check").alias("c"), F.max("check").alias("d")))
+    # Among n sets about n^2 / 2^65 share a number: three among 10^10, a few hundred among 10^11.
+    shared = nodes.filter("c <> d").select("node", "c")
+    if shared.isEmpty():
+        return base, nodes.drop("c", "d"), {}
+    others = filled.join(shared, "node").filter("check <> c").select("node", "check").distinct().collect()
+    mask = (1 << 64) - 1
+    first, second = (np.array([x[c] & mask for x in others], U64) for c in ("node", "check"))
+    new = mix64(first ^ mix64(second)).tolist()
+    renamed = {(x["node"] & mask, x["check"] & mask): v for x, v in zip(others, new, strict=True)}
+    table = base.sparkSession.createDataFrame(
+        [(x["node"], x["check"], _signed(v)) for x, v in zip(others, new, strict=True)], "node long, check long, new long"
+    )
+    base = scratch.put(base.join(table, ["node", "check"], "left").withColumn("node", F.coalesce("new", "node")).select(base.columns))
+    return base, scratch.put(base.filter("n > 0").groupBy("node").agg(*made)), renamed
+
+
+def solve(docs: DataFrame, width: int, p: int, q: int, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, h: hash of the text, n, node) and the distinct sets (node, low: least id and h, root: of its component)."""
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text")
-    )
-    total = docs.count()
-    base = scratch.put(node_rows(rows, width))
-    nodes = base.filter("n > 0").groupBy("node").agg(
-        F.min("id").alias("low"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
-    )
+    ).withColumn("h", F.xxhash64("text"))
+    base, nodes, renamed = _distinct_sets(scratch.put(node_rows(rows, width)), scratch)
+    bands = Bands(p, q).measure(*_sampled(rows, width, nodes, renamed))
     # One exchange serves both the count of a key's nodes and the join with the keys that have several.
-    keyed = key_rows(rows, width, p, q, total).repartition("key")
+    keyed = key_rows(rows, width, bands, renamed).repartition("key")
     met = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub <> far")
     members = scratch.put(keyed.join(met.select("key", "hub").hint("shuffle_hash"), "key").distinct())
-    used = members.select("node").distinct()
-    known = scratch.put(nodes.join(used, "node"))
-    sets = scratch.put(set_rows(rows, width, known.select(F.col("low").alias("id"))))
+    known = scratch.put(nodes.join(members.select("node").distinct(), "node"))
+    sets = scratch.put(set_rows(rows, width, known.select("node", "low.id", "low.h"), renamed))
     star = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    star = sifted(star, known, p, q)
-    tried = scratch.put(star)
+    tried = scratch.put(sifted(star, known, p, q))
     labels = known.select("node", F.col("node").alias("label"))
     labels = merge_components(labels, scratch.put(verify(tried, sets, p, q)), scratch)
     for nearest in (True, False):
@@ -411,16 +475,45 @@ def jaccard_components(
         pairs = scratch.put(candidate_pairs(labelled, known, p, q, nearest).join(tried, ["a", "b"], "left_anti"))
         labels = merge_components(labels, scratch.put(verify(pairs, sets, p, q)), scratch)
         tried = tried.union(pairs)
-    least = labels.join(known.select("node", "low"), "node")
-    least = least.groupBy("label").agg(F.min("low").alias("component"))
-    joined = labels.join(least, "label").select("node", "component")
-    final = nodes.select("node", "low").join(joined, "node", "left").select(
-        "node", F.coalesce("component", "low").alias("component")
-    )
-    out = base.select("id", "n", "node").join(final, "node", "left")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
+    found = scratch.put(nodes.join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("root")))
+    scratch.keep(base, found)
+    return base.select("id", "h", "n", "node"), found
+
+
+def jaccard_components(
+    docs: DataFrame, width: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """id, n_shingles, component_id of each row: links are similarities of p/q or more."""
+    base, nodes = solve(docs, width, p, q, id_col, text_col, Scratch(docs.sparkSession, "jaccard"))
+    least = nodes.groupBy("root").agg(F.min("low.id").alias("least"))
+    out = base.join(nodes.join(least, "root").select("node", "least"), "node", "left")
+    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least"))
     return out.select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(component != NO_ID, component).alias("component_id"),
     )
+
+
+def keep_one(
+    docs: DataFrame, width: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of docs, whole, without all but one of each component: the row of the least id, a null id the largest.
+
+    Rows with the same id and different texts are different rows; of rows with the same id and text one
+    stays. Texts without words are in no component and all stay.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    base, nodes = solve(docs, width, p, q, id_col, text_col, scratch)
+    first = nodes.groupBy("root").agg(F.min("low").alias("first"))
+    judged = base.filter("n > 0").join(nodes.join(first, "root").select("node", "first"), "node")
+    # Rows and their copies by (id, h) are counted before anything is shuffled by it.
+    counted = judged.groupBy("id", "h", (F.struct("id", "h") == F.col("first")).alias("stays")).agg(F.count(F.lit(1)).alias("k"))
+    changed = scratch.put(counted.filter("NOT stays OR k > 1"))
+    own = [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h")]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *own)
+    kept = packed.join(changed.select("id", "h"), ["id", "h"], "left_anti")
+    again = changed.filter("stays")
+    if not again.isEmpty():
+        kept = kept.unionByName(packed.join(again.select("id", "h"), ["id", "h"], "left_semi").dropDuplicates(["id", "h"]))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

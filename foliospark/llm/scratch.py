@@ -13,12 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 WHILE_WRITING = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4194304",
 }
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of this machine only where that is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='foliospark-')}"
+    """``spark.checkpoint.dir``; a folder of this machine only where that is unset and the master is local, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return found or f"file://{tempfile.mkdtemp(prefix='foliospark-')}"
 
 
 class Scratch:
@@ -28,6 +32,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        self.path_of: dict[int, tuple[DataFrame, str]] = {}
 
     def path(self) -> str:
         self.made += 1
@@ -43,10 +48,20 @@ class Scratch:
         finally:
             for k, v in before.items():
                 self.spark.conf.set(k, v)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.path_of[id(out)] = out, path
+        return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing will read again."""
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(self.path_of.pop(id(df))[1])
+
+    def keep(self, *frames: DataFrame) -> None:
+        """Delete all tables but these."""
+        kept = {id(x) for x in frames}
+        for key in [k for k in self.path_of if k not in kept]:
+            self._delete(self.path_of.pop(key)[1])
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

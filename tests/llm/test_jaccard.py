@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark.llm import jaccard
 from foliospark.llm.jaccard import NO_ID, Bands, close_pairs, difference, jaccard_components, sketch
@@ -74,14 +75,80 @@ def test_equals_brute_force(spark, width, p, q):
 
 
 def test_join_with_deletion_neighbourhoods(spark, monkeypatch):
-    """As allocated for 10^10 sets, where the cost rule takes them."""
-    assert any(d for _, d in Bands(90, 100, 10**10).of[:10])
-    real = jaccard.key_rows
-    monkeypatch.setattr(jaccard, "key_rows", lambda docs, width, p, q, sets: real(docs, width, p, q, 10**10))
+    """With half of the differences in deletion segments, whatever they cost."""
+
+    def most(self, sample, sets):
+        self.of = [self.choices(k)[-1] for k in range(len(self.of))]
+        return self
+
+    monkeypatch.setattr(Bands, "measure", most)
+    assert all(d for _, d in Bands(90, 100).measure([], 0).of[8:])
     rows = planted(11)
     assert result(spark, rows, 3, 90, 100) == brute(rows, 3, 90, 100)
 
 
+def test_allocation_follows_the_measured_collisions():
+    """Sets out of few shingles meet by chance: among many of them deletion neighbourhoods pay, among few they don't."""
+    r = np.random.default_rng(4)
+    universe = mix64(np.arange(3000, dtype=U64))
+    sample = [np.sort(r.choice(universe, 400, replace=False)) for _ in range(200)]
+    at = Bands(80, 100).bands(400)[0][0]
+    assert Bands(80, 100).measure(sample, 200).of[at][1] == 0
+    assert Bands(80, 100).measure(sample, 10**9).of[at][1] > 0
+    apart = [np.sort(mix64(r.integers(0, 2**63, 400).astype(U64))) for _ in range(200)]
+    assert Bands(80, 100).measure(apart, 10**9).of[at][1] == 0
+
+
+def test_equal_numbers_of_different_sets(spark, monkeypatch):
+    """Numbers of eight bits: nearly every set shares its own with others."""
+
+    def short(s):
+        full = [int(mix64(s).sum(dtype=U64)), int(mix64(s + U64(1)).sum(dtype=U64))] if len(s) else [0, 0]
+        return full[0] & 255, full[1]
+
+    monkeypatch.setattr(jaccard, "set_hash", short)
+    rows = planted(21, 40)
+    assert result(spark, rows, 3, 90, 100) == brute(rows, 3, 90, 100)
+
+
+def test_one_set_row_a_node(spark, monkeypatch):
+    """Copies by the thousand and a filter that passes all: sets are still one row a node."""
+    monkeypatch.setattr(jaccard, "FILTER_BITS", 32)
+    texts = ["the first text of two that many copies have in common today", "a second one altogether with other words in it"]
+    rows = [(i, texts[i % 2]) for i in range(10_000)] + [(None, texts[0])] * 50
+    df = spark.createDataFrame(rows, "id long, text string").withColumn("h", F.xxhash64("text")).repartition(5)
+    df = df.withColumn("id", F.coalesce("id", F.lit(NO_ID))).persist()
+    nodes = jaccard.node_rows(df, 3).groupBy("node").agg(F.min(F.struct("id", "h")).alias("low"))
+    sets = jaccard.set_rows(df, 3, nodes.select("node", "low.id", "low.h"), {}).collect()
+    assert len(sets) == 2 and len({x["node"] for x in sets}) == 2
+    df.unpersist()
+    near = rows + [(20_000, texts[0].replace("today", "now")), (20_001, "unlike")]
+    assert result(spark, near, 3, 60, 100) == brute_counted(near, 3, 60, 100)
+
+
+def brute_counted(rows, width, p, q):
+    """As ``brute``, over distinct texts."""
+    low = {}
+    for d, t in rows:
+        low[t] = min(low.get(t, NO_ID), NO_ID if d is None else d)
+    solved = {d: (n, c) for d, n, c in brute([(d, t) for t, d in low.items()], width, p, q)}
+    return sorted(((NO_ID if d is None else d), *solved[low[t]]) for d, t in rows)
+
+
+def test_keep_one_judges_rows(spark):
+    """Null ids, ids that repeat with other texts, rows that repeat whole, and texts without words."""
+    r = random.Random(8)
+    text = lambda: " ".join(f"w{r.randrange(400)}" for _ in range(40))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, a), (2, a + " more"), (None, a), (None, b), (None, b + " more"), (3, c), (3, a), (3, c), (4, d), (5, None), (5, None), (6, "")]
+    df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, node int").repartition(3)
+    kept = sorted(((x["doc_id"], x["text"]) for x in jaccard.keep_one(df).collect()), key=str)
+    # Of the two null ids with b or nearly b, the one whose text has the smaller hash stays.
+    least = df.filter("text = '" + b + "' OR text = '" + b + " more'").orderBy(F.xxhash64("text")).first()["text"]
+    assert kept == sorted([(1, a), (None, least), (3, c), (4, d), (5, None), (5, None), (6, "")], key=str)
+    assert jaccard.keep_one(df.limit(0)).collect() == [] and jaccard.keep_one(df).columns == df.columns
+
+
 def test_large_near_copy_group(spark):
     """Many variants of one text, linked only through others, over more than one block."""
     r = random.Random(5)
@@ -100,10 +167,11 @@ def test_empty_table(spark):
 
 
 @pytest.mark.parametrize("p,q", [(90, 100), (80, 100)])
-@pytest.mark.parametrize("sets", [100, 10**6, 10**10])
-def test_linked_sets_share_a_key_at_every_allocation(p, q, sets):
+@pytest.mark.parametrize("choice", [0, 1, -1])
+def test_linked_sets_share_a_key_at_every_allocation(p, q, choice):
     r = np.random.default_rng(7)
-    bands = Bands(p, q, sets)
+    bands = Bands(p, q)
+    bands.of = [bands.choices(k)[min(choice, len(bands.choices(k)) - 1)] for k in range(len(bands.of))]
     for n in [5, 9, 10, 13, 14, 20, 30, 57, 100, 200, 450]:
         for _ in range(20):
             s = np.unique(mix64(r.integers(0, 2**63, n).astype(U64)))
