@@ -26,13 +26,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word Jaccard similarity of 0.8 or more: the smallest id."""
-    scratch = Scratch(spark, "near")
-    groups = scratch.put(jaccard.jaccard_components(docs, width=5, p=80, q=100))
-    dropped = scratch.put(groups.filter("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    repeated = groups.groupBy("doc_id").count().filter("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    """One row of each group linked by five-word Jaccard similarity of 0.8 or more: that of the smallest id.
+
+    Rows are judged, not ids: a null id counts as the largest, an id that repeats with another text is
+    another row, a row that repeats whole stays once. Texts without words (null, empty) are in no group
+    and stay; an empty table stays empty.
+    """
+    return jaccard.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
