@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,23 +46,38 @@ def required_types(rules: DataFrame | None, templates: DataFrame | None, spark)
     return own.unionByName(default.join(own.limit(1).select(F.lit(1).alias("__any")), F.lit(True), "left_anti"))
 
 
-def alias_map(rules: DataFrame) -> DataFrame:
-    """key, canon: a mapping names itself, the last rule wins; a pattern takes a key that is free when its rule comes."""
+def _few(rows: DataFrame) -> list:
+    """Rows of a configuration table; a local one is evaluated without a job. More than ``MOST_RULES`` are refused."""
+    found = rows.limit(MOST_RULES + 1).collect()
+    if len(found) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rows of configuration")
+    return found
+
+
+def _aliases(rules: DataFrame) -> dict[str, tuple[str, str]]:
+    """Key to canonical type and its key: a mapping names itself, the last rule wins; a pattern takes a key that is free."""
     canon = F.trim(F.coalesce("mapping", F.lit("")))
-    rows = rules.select("rule_ord", canon.alias("canon"), T.normalize_compare(canon).alias("kc"), T.normalize_compare(F.trim("pattern")).alias("ks"))
-    rows = rows.filter("canon <> ''")
-    own = rows.filter("kc <> ''").select(F.col("kc").alias("key"), "canon", (F.col("rule_ord") * 2).alias("ord"), F.lit(1).alias("self"))
-    other = rows.filter("ks <> ''").select(F.col("ks").alias("key"), "canon", (F.col("rule_ord") * 2 + 1).alias("ord"), F.lit(0).alias("self"))
-    # A self-mapping overwrites; a pattern counts only as the first entry of its key.
-    best = F.max_by("canon", F.when(F.col("self") == 1, F.col("ord")).otherwise(F.lit(-1) - F.col("ord")))
-    return own.union(other).groupBy("key").agg(best.alias("canon"))
+    kc, ks = T.normalize_compare(canon), T.normalize_compare(F.trim("pattern"))
+    found: dict[str, tuple[str, str]] = {}
+    for r in sorted(_few(rules.select("rule_ord", canon.alias("canon"), kc.alias("kc"), ks.alias("ks"))), key=lambda r: r["rule_ord"]):
+        if r["canon"]:
+            if r["kc"]:
+                found[r["kc"]] = r["canon"], r["kc"]
+            if r["ks"]:
+                found.setdefault(r["ks"], (r["canon"], r["kc"]))
+    return found
+
 
+def _local(spark, names: list[str], types: list[pa.DataType], rows: list[tuple]) -> DataFrame:
+    """A local relation: its size is known when joins are planned."""
+    columns = list(zip(*rows, strict=True)) or [[] for _ in names]
+    return spark.createDataFrame(pa.table({n: pa.array(c, t) for n, t, c in zip(names, types, columns, strict=True)}))
 
-def canonical(df: DataFrame, value: str, aliases: DataFrame, out: str) -> DataFrame:
-    """Append the canonical form of a type, the type itself without an alias."""
-    named = aliases.select(F.col("key").alias("__key"), F.col("canon").alias("__canon"))
-    joined = df.join(named, T.normalize_compare(F.col(value)) == F.col("__key"), "left")
-    return joined.withColumn(out, F.coalesce("__canon", value)).drop("__key", "__canon")
+
+def alias_map(rules: DataFrame) -> DataFrame:
+    """key, canon of each spelling that rules name."""
+    rows = [(k, canon) for k, (canon, _) in _aliases(rules).items()]
+    return _local(rules.sparkSession, ["key", "canon"], [pa.string()] * 2, rows)
 
 
 def file_type(stem: Column, folder: Column) -> Column:
@@ -95,70 +113,60 @@ def match_received(expected: DataFrame, folders: DataFrame) -> DataFrame:
     return done.unionByName(left.join(near, "ek", "left").select(*want.columns, "received", "folder_ord")).drop("ek")
 
 
-def configuration(df: DataFrame, most: int = MOST_RULES) -> DataFrame:
-    """A small table as a local relation: its true size is known when joins are planned. Larger ones stay as they are."""
-    some = df.limit(most + 1).toArrow()
-    return df.sparkSession.createDataFrame(some, df.schema) if some.num_rows <= most else df
-
-
 def report(
     projects: DataFrame, types: DataFrame, files: DataFrame, folders: DataFrame, rules: DataFrame
 ) -> DataFrame:
     """One row a project: required, actual, missing, extra, mismatch (arrays) and status.
 
     projects: name, ord. types: type, ord. files: folder, file. folders: folder, folder_ord.
+    Types and rules are configuration: they reach files as two small lookup tables, so a
+    file's verdict is row-wise. Files meet their projects once and are grouped by project
+    once, first by type within it.
     """
-    types = configuration(types)
-    aliases = configuration(alias_map(rules))
+    spark = projects.sparkSession
+    aliases = _aliases(rules)
+    asked = [(r["ord"], r["type"], r["key"]) for r in _few(types.filter("type <> ''").select("ord", "type", T.normalize_compare(F.col("type")).alias("key")))]
+    asked.sort(key=lambda t: t[:2])
+    kinds: dict[str, tuple[int, str]] = {}  # canonical key to place and spelling of the first type with it
+    for i, (_, kind, key) in enumerate(asked):
+        kinds.setdefault(aliases[key][1] if key in aliases else key, (i, kind))
+    known = sorted({*kinds, *aliases, *(k for _, k in aliases.values())})
+    known = _local(spark, ["ns", "known"], [pa.string(), pa.bool_()], [(k, True) for k in known])
+    listed = [(k, *aliases.get(k, (None, k))) for k in {*aliases, *kinds}]
+    listed = _local(spark, ["own", "canon", "key", "asked"], [pa.string()] * 3 + [pa.bool_()], [(*x, x[2] in kinds) for x in sorted(listed)])
     wanted = ordered_distinct(projects, "name", "ord").withColumn("folder", F.col("name"))
     matched = match_received(wanted, folders.select("folder", "folder_ord"))
-    kinds = canonical(types.filter("type <> ''"), "type", aliases, "canon").select("type", "ord", T.normalize_compare(F.col("canon")).alias("key"))
-    kinds = kinds.groupBy("key").agg(F.min(F.struct("ord", "type")).alias("t")).select("key", F.col("t.ord").alias("t_ord"), F.col("t.type").alias("type"))
-    kinds = configuration(kinds)
-    all_types = F.transform(F.array_sort(F.collect_list(F.struct("ord", "type"))), lambda t: t["type"])
-    required = types.filter("type <> ''").agg(all_types.alias("required"))
-    known = (
-        kinds.select("key")
-        .union(aliases.select("key"))
-        .union(aliases.select(T.normalize_compare(F.col("canon"))))
-        .distinct()
-        .withColumn("known", F.lit(True))
-    )
-    known = configuration(known, 4 * MOST_RULES)
-    stem = F.regexp_replace("file", r"\.[^.]*$", "")
-    got = matched.join(files.select(F.col("folder").alias("received"), "file"), "received")
-    got = got.withColumn("stem", stem).filter("stem <> ''").withColumn("type", file_type(F.col("stem"), F.col("received")))
-    got = got.withColumn("ns", T.normalize_compare(F.col("stem"))).join(known.withColumnRenamed("key", "ns"), "ns", "left")
-    named = F.coalesce(F.startswith("ns", T.normalize_compare(F.col("folder"))) & (T.normalize_compare(F.col("folder")) != ""), F.lit(False))
-    got = got.withColumn("ok", named | F.coalesce("known", F.lit(False)))
-    good = canonical(got.filter("ok AND type <> ''"), "type", aliases, "canon").withColumn("key", T.normalize_compare(F.col("canon")))
-    good = good.groupBy("name", "key").agg(F.min(F.struct("file", "canon")).alias("f"))
-    good = good.select("name", "key", F.col("f.file").alias("file"), F.col("f.canon").alias("canon")).join(kinds.select("key", "t_ord"), "key", "left")
-    by_file = lambda keep: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("file", "canon")))), lambda f: f["canon"])
-    received = good.groupBy("name").agg(
-        by_file(F.lit(True)).alias("actual"), by_file(F.col("t_ord").isNull()).alias("extra"), F.collect_set("key").alias("keys")
+    got = matched.join(files.select(F.col("folder").alias("received"), "file"), "received", "left")
+    got = got.withColumn("stem", F.nullif(F.regexp_replace("file", r"\.[^.]*$", ""), F.lit("")))
+    got = got.withColumn("type", file_type(F.col("stem"), F.col("received"))).withColumn("ns", T.normalize_compare(F.col("stem")))
+    got = got.withColumn("own", T.normalize_compare(F.col("type"))).join(F.broadcast(known), "ns", "left").join(F.broadcast(listed), "own", "left")
+    own = T.normalize_compare(F.col("folder"))
+    named = F.coalesce(F.startswith("ns", own) & (own != ""), F.lit(False)) | F.coalesce("known", F.lit(False))
+    good = F.col("stem").isNotNull() & named & (F.col("type") != "")
+    got = got.select(
+        "name", "folder", "ord", "received",
+        F.when(good, F.coalesce("key", "own")).alias("key"),
+        F.when(good, F.struct("file", F.coalesce("canon", "type").alias("canon"), F.coalesce("asked", F.lit(False)).alias("asked"))).alias("good"),
+        F.when(F.col("stem").isNotNull() & ~named, F.col("file")).alias("wrong"),
+    )
+    # By type first: what is shuffled is one row a type and map task, however many files a project has.
+    project = ["name", "folder", "ord", "received"]
+    kept = got.groupBy(*project, "key").agg(F.min("good").alias("good"), F.collect_list("wrong").alias("wrong"))
+    lists = kept.groupBy(*project).agg(
+        F.array_sort(F.collect_list("good")).alias("good"),
+        F.collect_set("key").alias("keys"),
+        F.array_sort(F.flatten(F.collect_list("wrong"))).alias("mismatch"),
     )
-    wrong = got.filter("NOT ok").groupBy("name").agg(F.array_sort(F.collect_list("file")).alias("mismatch"))
-    ordered_kinds = kinds.agg(F.array_sort(F.collect_list(F.struct("t_ord", "key", "type"))).alias("kinds"))
-    none = F.array().cast("array<string>")
-    out = (
-        matched.join(received, "name", "left")
-        .join(wrong, "name", "left")
-        .crossJoin(F.broadcast(required))  # one row each: the required types
-        .crossJoin(F.broadcast(ordered_kinds))
-        .select(
-            "name",
-            "folder",
-            "ord",
-            "received",
-            "required",
-            F.coalesce("actual", none).alias("actual"),
-            F.transform(
-                F.filter("kinds", lambda k: ~F.array_contains(F.coalesce("keys", none), k["key"])), lambda k: k["type"]
-            ).alias("missing"),
-            F.coalesce("extra", none).alias("extra"),
-            F.coalesce("mismatch", none).alias("mismatch"),
-        )
+    ordered = sorted((place, key, kind) for key, (place, kind) in kinds.items())
+    constant = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
+    places = constant([{"key": k, "type": t} for _, k, t in ordered], "array<struct<key:string,type:string>>")
+    out = lists.select(
+        *project,
+        constant([t for _, t, _ in asked], "array<string>").alias("required"),
+        F.transform("good", lambda g: g["canon"]).alias("actual"),
+        F.transform(F.filter(places, lambda k: ~F.array_contains("keys", k["key"])), lambda k: k["type"]).alias("missing"),
+        F.transform(F.filter("good", lambda g: ~g["asked"]), lambda g: g["canon"]).alias("extra"),
+        "mismatch",
     )
     status = (
         F.when(F.size("missing") > 0, MISSING)
