@@ -91,6 +91,17 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("lang").alias("declared"), "language", "confidence", "accepted")
 
 
+def op5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four kinds of evidence: visible text, ``<html lang>``, address suffix and host."""
+    pages = table(spark, sf_dir, "pages")
+    declared, text = langid.from_markup(F.col("html"))
+    found = langid.identify(
+        pages.select("page_id", "url", declared.alias("declared"), text.alias("text")),
+        declared_col="declared", host_col=None, url_col="url", id_col="page_id",
+    )
+    return found.select("page_id", "declared", "language", "confidence", "accepted")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "warc").path()
     warc.write(table(spark, sf_dir, "pages"), path)
@@ -139,6 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_filter": op3_url_filter,
         "op4_bpe": op4_bpe,
         "op5_language_id": op5_language_id,
+        "op5_pages": op5_pages,
         "op6_warc": op6_warc,
         "op7_quality_gam": op7_quality_gam,
         "op8_decontaminate": op8_decontaminate,

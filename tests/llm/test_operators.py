@@ -422,6 +422,94 @@ def test_language_keeps_rare_languages(spark):
     assert len(langid.fit_text(many, 8000).languages) == 70
 
 
+def test_language_on_twenty_of_three_thousand_rows_without_ids(spark):
+    r = random.Random(15)
+    rows = [(None, spoken(r, "en" if i % 2 else "de", 20), "en" if i % 2 else "de", None) for i in range(2980)]
+    rows += [(None, spoken(r, "fr", 20), "fr", None) for _ in range(20)]
+    out = langid.identify(documents(spark, rows), sample=500).collect()
+    assert sum(x["language"] == x["lang"] and x["accepted"] for x in out) >= 2990
+    assert sum(x["language"] == "fr" and x["accepted"] for x in out if x["lang"] == "fr") == 20
+
+
+def test_language_whose_rows_are_all_alike(spark):
+    rows = [(None, "the house of morning and water", "en", None)] * 3000 + [(1, "der fluss und das haus", "de", None)] * 6
+    out = langid.identify(documents(spark, rows), sample=2).collect()
+    assert all(x["language"] == x["lang"] for x in out)
+
+
+def test_language_equals_plain_python(spark):
+    """The fusion once more, row by row with dictionaries."""
+    r = random.Random(23)
+    rows = []
+    for i in range(240):
+        lang = r.choice(list(VOCABULARY))
+        host = r.choice([f"a{i % 3}.example.{lang}", f"b.other.{r.choice(['de', 'en'])}", "nodots", None])
+        said = r.choice([lang, lang, lang, "de", "xx", None])
+        rows.append((i, spoken(r, lang, r.choice([1, 2, 20])), said, host and f"https://{host}/p"))
+    rows += [(900, "", "en", None), (901, None, None, "https://b.other.de/"), (902, "7 8", "fr", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, url string")
+    got = {x["doc_id"]: x for x in langid.identify(df, url_col="url", host_col=None).collect()}
+
+    def trigrams(text):
+        low = [b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()]
+        low = [b if 97 <= b <= 122 or b >= 128 else 32 for b in low]
+        for x, y, z in zip(low, low[1:], low[2:]):
+            if y != 32:
+                yield ((((x * 65599 + y) * 65599 + z) % 2**32) * 0x9E3779B1 % 2**32) >> 16
+
+    names = sorted({d for _, _, d, _ in rows if d and sum(x[2] == d for x in rows) >= langid.LANGUAGE_ROWS})
+    assert names == ["de", "en", "fr", "xx"]
+    texts = {i: f" {t or ''} " for i, t, _, _ in rows}
+    counts = {n: {} for n in names}
+    for i, _, d, _ in rows:
+        for c in trigrams(texts[i]) if d in counts else ():
+            counts[d][c] = counts[d].get(c, 0) + 1
+    most = max(sum(c.values()) for c in counts.values())
+
+    def log_p(n, c):
+        total = sum(counts[n].values())
+        return math.log((counts[n].get(c, 0) * most / total + 0.5) / (most + 0.5 * langid.BUCKETS))
+
+    def softmax(v):
+        e = [math.exp(x - max(v)) for x in v]
+        return [x / sum(e) for x in e]
+
+    text = {i: [langid.TEMPER * sum(log_p(n, c) for c in trigrams(texts[i])) for n in names] for i in texts}
+    own = {i: softmax(v) if any(v) else [0.0] * len(names) for i, v in text.items()}
+    host_of = {i: re.match("https://([^/]*)", u)[1] if u else None for i, _, _, u in rows}
+    end_of = {i: h.split(".")[-1] if h and "." in h else None for i, h in host_of.items()}
+    declared = {i: d for i, _, d, _ in rows}
+    add = lambda ids: [sum(own[i][k] for i in ids) for k in range(len(names))]
+    agree = {d: [0.5 + x for x in add([i for i in own if declared[i] == d])] for d in names}
+    agree[None] = [0.5] * len(names)  # any other declared value
+    whole = [sum(v[k] for v in agree.values()) for k in range(len(names))]
+    overall = [w - 0.5 * len(agree) + 1.0 for w in whole]
+    overall = [x / sum(overall) for x in overall]
+    for i in own:
+        prior = overall
+        for of in (end_of, host_of):
+            if of[i] is not None:
+                left = [max(a - b, 0.0) for a, b in zip(add([j for j in own if of[j] == of[i]]), own[i])]
+                prior = [(x + langid.PRIOR_ROWS * q) / (sum(left) + langid.PRIOR_ROWS) for x, q in zip(left, prior)]
+        score = [t + math.log(max(q, 1e-9)) for t, q in zip(text[i], prior)]
+        if declared[i] is not None:
+            score = [v + math.log(agree[declared[i]][k] / whole[k]) for k, v in enumerate(score)]
+        post = softmax(score)
+        best = max(range(len(names)), key=lambda k: post[k])
+        if any(text[i]):
+            assert got[i]["language"] == names[best] and abs(got[i]["confidence"] - post[best]) < 1e-4, i
+        else:
+            assert got[i]["language"] == "und" and not got[i]["accepted"]
+
+
+def test_language_reads_markup(spark):
+    pages = ["<!DOCTYPE html><HTML class=x LANG='en-GB'><style>p{der}</style><body>The&nbsp;house<script>fluss()</script></body>", "<html><p lang=de>x</p>", None, ""]
+    df = spark.createDataFrame([(p,) for p in pages], "html string")
+    got = df.select(*langid.from_markup(langid.F.col("html"))).collect()
+    assert [x[0] for x in got] == ["en", None, None, None]
+    assert [x[1].split() for x in got] == [["The", "house"], ["x"], [], []]
+
+
 def test_language_edges(spark, odd):
     assert langid.identify(odd).count() == 7
     assert langid.identify(odd.limit(0)).count() == 0
