@@ -274,6 +274,28 @@ def test_warc_rejects_magic_inside_payloads(spark, tmp_path):
     assert found.filter("page_id = 666").count() == 3  # seen, and not reached
 
 
+def test_warc_in_ranges(spark, tmp_path):
+    """Files read in ranges of 64 KiB: records over the bound, magic on and inside their edges, garbage at the end."""
+    r = random.Random(6)
+    forged = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    texts = ["".join(r.choice(["a", "é", "\r\n\r\n", "WARC/1.1\r\n", forged, "xyz " * 50]) for _ in range(r.choice([1, 5, 40, 900]))) for _ in range(150)]
+    df = spark.createDataFrame([(i, "http://u", t) for i, t in enumerate(texts)], "page_id long, url string, html string")
+    warc.write(df.coalesce(1), str(tmp_path / "w"), least=1 << 40)
+    file = next((tmp_path / "w").glob("*.txt"))
+    assert file.stat().st_size > 8 << 16
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "w.txt").write_bytes(file.read_bytes() + b"garbage " * 9)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 16))
+    try:
+        back = {x["page_id"]: x for x in warc.read(spark, str(tmp_path / "g")).collect()}
+        short = warc.read(spark, str(tmp_path / "g"), payload=False)
+        assert {x["page_id"]: x["payload_sha256"] for x in short.collect()} == {i: x["payload_sha256"] for i, x in back.items()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {i: bytes(x["payload"]).decode() for i, x in back.items()} == dict(enumerate(texts))
+    assert all(x["payload_bytes"] == len(texts[i].encode()) and x["digest"] == x["payload_sha256"] for i, x in back.items())
+
+
 def test_warc_empty_and_cut(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write(none, str(tmp_path / "e"))
