@@ -38,11 +38,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from foliospark.llm.textops import HELD
+from foliospark.llm.textops import HELD, give_back
 
 END = "</w>"
-CACHE = 120_000  # pieces in each of the two generations that one worker remembers
-STATES = 150_000  # letter states of one worker
+CACHE = 80_000  # pieces in each of the two generations that one worker remembers
+STATES = 100_000  # letter states of one worker
 
 
 def byte_letters() -> list[str]:
@@ -302,7 +302,7 @@ def digests(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             counts, of_ids, of_text = [], [], []
             for value in batch.column(1):
                 paths = t.paths(value.as_py())
@@ -330,3 +330,4 @@ def _chosen(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     for a in range(0, batch.num_rows, rows):
         yield batch.slice(a, rows)
+    give_back()

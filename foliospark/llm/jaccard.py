@@ -63,6 +63,12 @@ def difference(total: int, p: int, q: int) -> int:
     return total * (q - p) // (q + p)
 
 
+def _couples(of: np.ndarray) -> float:
+    """Pairs of entries with equal values."""
+    _, met = np.unique(of, return_counts=True)
+    return float((met * (met - 1) / 2).sum())
+
+
 class Bands:
     """Size bands, each with its segments m and deletion segments d."""
 
@@ -83,22 +89,40 @@ class Bands:
         return [(math.ceil(1.08 * (need - d)) + 1, d) for d in sorted({0, need // 8, need // 4, need // 2})]
 
     def measure(self, sample: list[np.ndarray], sets: int) -> Bands:
-        """Choose by what the sample's sets write and meet, carried on to so many sets."""
+        """Choose by what the sample's sets write, and meet of other components, carried on to so many sets."""
         grown = max(1.0, sets / max(1, len(sample)))
         members: dict[int, list[tuple[np.ndarray, int]]] = {}
         for one in sample:
             for band, most in self.bands(len(one)):
                 members.setdefault(band, []).append((one, most))
         for band, own in members.items():
+            sets = [one for one, _ in own]
+            labels = np.arange(len(own))
             costs = []
             for m, d in self.choices(band):
                 keys = [self.keys_in(one, band, most, m, d) for one, most in own]
-                _, met = np.unique(np.concatenate(keys), return_counts=True)
-                pairs = float((met * (met - 1) / 2).sum())
-                costs.append((sum(map(len, keys)) * grown + PAIR_COST * pairs * grown**2, m, d))
+                owner = np.repeat(np.arange(len(own)), [len(k) for k in keys])
+                _, key = np.unique(np.concatenate(keys), return_inverse=True)
+                if not costs:
+                    labels = self.joined(sets, key, owner)
+                pairs = _couples(key) - _couples(key * len(own) + labels[owner])
+                costs.append((len(owner) * grown + PAIR_COST * pairs * grown**2, m, d))
             self.of[band] = min(costs)[1:]
         return self
 
+    def joined(self, sets: list[np.ndarray], key: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Labels of sets after linking each with the first set that has one of its keys, as the first round does."""
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        hub = np.repeat(owner[first], np.diff(np.append(first, len(key))))
+        label = np.arange(len(sets))
+        for i, j in {(int(i), int(j)) for i, j in zip(hub, owner, strict=True) if i != j}:
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if self.q * both >= self.p * (len(sets[i]) + len(sets[j]) - both):
+                label[label == label[j]] = label[i]
+        return label
+
     def bands(self, n: int) -> list[tuple[int, int]]:
         """The set's own band, and the next if a linked set can lie there; with the most differences there."""
         own = int(np.searchsorted(self.edge, n, side="right")) - 1
