@@ -17,14 +17,21 @@ capital says nothing. Documents' windows are made with all such words as literal
 all as names. So neither a sentence put before an item nor a moved line break hides it.
 
 A document leaks an item if consistent windows of either kind cover at least ``least`` of
-the item's.
+the item's, or if ``run`` words of it stand in a row as they are, however long the item.
+Along one alignment at most ``torn`` of the item's slot values may stand for several values
+of the document: copies with a changed place or two are copies still.
 Before the join, documents' windows pass a filter of fixed size built from the
 benchmark, so few rows are ever shuffled; the join itself is exact.
 
+Capitals are those of all scripts whose letters take two bytes at most (Latin, Greek,
+Cyrillic, Armenian). Where a language capitalises nouns these are slots too: an item asked
+again keeps them, and the slot check holds them like any value.
+
 Items shorter than a window are one window of their own length. Defined cases: null text
 counts as empty and leaks nothing; an item without a window with enough literal tokens
-is compared by its words alone; repeated rows are judged alike, under one id as one
-document; a null id is never reported; an empty table on either side gives no leak;
+is compared by its words alone; rows are judged by id and text, so a null id is judged (and
+reported as null), an id that repeats with another text is another document, and rows that
+repeat whole are reported once and go together; an empty table on either side gives no leak;
 other columns are not read.
 """
 
@@ -36,7 +43,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.scratch import Scratch
@@ -48,7 +55,11 @@ UNITS = (
     "mm cm m km in inch inches ft foot feet yard yards mile miles mg g kg lb lbs oz gram grams kilogram kilograms "
     "ml l litre litres liter liters gallon gallons second seconds minute minutes min hour hours day days week weeks "
     "month months year years cent cents dollar dollars euro euros pound pounds percent degree degrees km/h mph watt "
-    "watts volt volts hz khz mhz ghz kb mb gb tb"
+    "watts volt volts hz khz mhz ghz kb mb gb tb "
+    "stunde stunden sekunde sekunden minuten tag tage tagen woche wochen monat monate monaten jahr jahre jahren gramm prozent grad "
+    "meile meilen stück cents heure heures seconde secondes jour jours semaine semaines mois an ans année années mètre mètres "
+    "gramme grammes pour-cent degré degrés hora horas segundo segundos minuto minutos día días semana semanas mes meses año años "
+    "metro metros gramo gramos litro litros grado grados"
 ).split()
 FILTER_BITS = 1 << 22
 
@@ -57,18 +68,16 @@ _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = True
 _WORD[128:] = True
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
+_CAPITAL = np.array([chr(c).isupper() for c in range(0x800)])
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[ord(c) for c in ".!?:;"]] = True
 
 
 def _unit_hashes() -> np.ndarray:
-    raw, offsets = string_bytes(pa.array(UNITS))
+    raw, offsets = string_bytes(caseless(pa.array(UNITS)))
     return np.sort(hash_ranges(raw, offsets[:-1], offsets[1:], True))
 
 
-_UNITS = _unit_hashes()
-
-
 @dataclass
 class Template:
     token: np.ndarray  # hash of the literal, or a placeholder
@@ -90,6 +99,9 @@ def caseless(column: pa.Array) -> pa.Array:
     return pa.array([x if x is None or x.isascii() else x.upper().casefold() for x in column.to_pylist()], pa.large_string())
 
 
+_UNITS = _unit_hashes()
+
+
 def _trimmed(raw: np.ndarray, found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which words have a word byte, and their start and end without outer punctuation."""
     # First and last word byte of each word, by nearest-position tables.
@@ -123,7 +135,9 @@ def template(column: pa.Array) -> Template:
     digits = np.concatenate([[0], np.cumsum(_DIGIT[raw])])
     number = _DIGIT[lead] & (2 * (digits[end] - digits[start]) >= end - start)
     unit = _UNITS[np.minimum(np.searchsorted(_UNITS, value), len(_UNITS) - 1)] == value
-    capital = (lead >= 65) & (lead <= 90)
+    second = raw[np.minimum(start + 1, len(raw) - 1)].astype(np.int64)
+    two = (lead >= 0xC2) & (lead <= 0xDF)
+    capital = np.where(two, _CAPITAL[(lead.astype(np.int64) & 31) << 6 | second & 63], (lead < 128) & _CAPITAL[lead])
     name = capital & ~opening
     slot = number | unit | name
     token = value.copy()
@@ -206,11 +220,12 @@ def item_windows(benchmark: DataFrame, width: int, id_col: str = "item_id", text
     return rows.mapInArrow(run, ITEMS)
 
 
-DOCS = "doc_id long, width int, pos long, key long, pattern long, slots array<long>"
+NO_ID = (1 << 63) - 1  # stands for a null id
+DOCS = "doc_id long, h long, width int, pos long, key long, pattern long, slots array<long>"
 
 
 def document_windows(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Windows of documents (doc_id, text) that may be among ``keys`` (width, literal, key)."""
+    """Windows of documents (doc_id, text, h) that may be among ``keys`` (width, literal, key)."""
     bit = F.pmod(F.col("key"), F.lit(FILTER_BITS))
     filled = keys.groupBy("width", "literal", F.shiftright(bit, 5).alias("at")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, {FILTER_BITS}) % 32 as int))")).alias("bits")
@@ -229,7 +244,7 @@ def document_windows(docs: DataFrame, keys: DataFrame) -> DataFrame:
             t = template(part.column(1))
             none = np.zeros(len(t.slot), bool)
             words_only, named = Template(t.value, t.value, none, t.bound, none), t.named(t.maybe)
-            ids = part.column(0)
+            ids, digest = part.column(0), part.column(2)
             openings = np.concatenate([[0], np.cumsum(t.maybe)])
             for (w, literal), table in shared.value.items():
                 for one in (words_only,) if literal else (t, named):
@@ -247,6 +262,7 @@ def document_windows(docs: DataFrame, keys: DataFrame) -> DataFrame:
                     yield pa.record_batch(
                         {
                             "doc_id": ids.take(pa.array(owner)),
+                            "h": digest.take(pa.array(owner)),
                             "width": pa.array(np.full(len(hit), w), pa.int32()),
                             "pos": pa.array(hit - t.bound[owner], pa.int64()),
                             "key": pa.array(hashes[hit].view(np.int64)),
@@ -255,54 +271,101 @@ def document_windows(docs: DataFrame, keys: DataFrame) -> DataFrame:
                         }
                     )
 
-    return docs.filter("doc_id IS NOT NULL").mapInArrow(run, DOCS)
+    return docs.mapInArrow(run, DOCS)
 
 
-def leaks(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    width: int = 8,
-    least: float = 0.3,
-    id_col: str = "doc_id",
-    text_col: str = "text",
+def _row_key(id_col: str, text_col: str) -> list:
+    """doc_id and h: what rows are told apart by."""
+    text = F.col(text_col).cast("string")
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("h")]
+
+
+def _longest_run(places: str) -> Column:
+    """Most consecutive numbers in a sorted array."""
+    start = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("best"))
+
+    def step(acc: Column, at: Column) -> Column:
+        now = F.when(at == acc["last"] + 1, acc["now"] + 1).otherwise(F.lit(1))
+        return F.struct(at.alias("last"), now.alias("now"), F.greatest(acc["best"], now).alias("best"))
+
+    return F.aggregate(places, start, step, lambda acc: acc["best"])
+
+
+def _found(
+    docs: DataFrame, benchmark: DataFrame, width: int, least: float, run: int, torn: float, id_col: str, text_col: str
 ) -> DataFrame:
-    """doc_id, item_id, coverage, windows, reworded (values differ): one row a leaked item of a document."""
+    """doc_id, h (of the text), item_id, coverage, windows, reworded."""
     items = item_windows(benchmark, width)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    met = document_windows(rows, items.select("width", "literal", "key").distinct())
+    rows = docs.select(*_row_key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
+    met = document_windows(rows.select("doc_id", "text", "h"), items.select("width", "literal", "key").distinct())
     other = items.withColumnsRenamed({"pattern": "item_pattern", "slots": "item_slots"})
     pairs = met.join(other, ["width", "key"]).filter("pattern = item_pattern AND size(slots) = size(item_slots)")
     pairs = pairs.filter("forall(fixed, k -> slots[k] = item_slots[k])")
+    own = ["doc_id", "h", "item_id"]
     pairs = pairs.select(
-        "doc_id", "item_id", "literal", "at", "windows", (F.col("pos") - F.col("at")).alias("shift"), "slots", "item_slots"
+        *own, "literal", "at", "windows", "width", (F.col("pos") - F.col("at")).alias("shift"), "slots", "item_slots"
     ).distinct()
-    pairs = Scratch(docs.sparkSession, "windows").put(pairs)  # read twice below; texts once
+    pairs = Scratch(docs.sparkSession, "windows").put(pairs)  # read several times below; texts once
     # Slot consistency along an alignment: one value of the document for each of the item's.
-    line = ["doc_id", "item_id", "literal", "shift"]
+    line = [*own, "literal", "shift"]
     values = pairs.filter("size(slots) > 0").select(*line, F.explode(F.arrays_zip("item_slots", "slots")).alias("v"))
-    torn = (
+    rent = (
         values.groupBy(*line, F.col("v.item_slots").alias("item_value"))
         .agg(F.min("v.slots").alias("lo"), F.max("v.slots").alias("hi"))
         .groupBy(*line)
-        .agg(F.avg((F.col("lo") != F.col("hi")).cast("double")).alias("torn"))
+        .agg(F.avg((F.col("lo") != F.col("hi")).cast("double")).alias("rent"))
     )
-    sound = pairs.join(torn, line, "left").filter(F.coalesce("torn", F.lit(0.0)) <= 0.34)
-    per_place = sound.groupBy("doc_id", "item_id", "literal", "at").agg(
+    sound = pairs.join(rent, line, "left").filter(F.coalesce("rent", F.lit(0.0)) <= torn)
+    per_place = sound.groupBy(*own, "literal", "at").agg(
         F.max("windows").alias("of"), F.min(F.col("slots") != F.col("item_slots")).alias("differs")
     )
+    # Items are short, so are the lists of their places.
+    in_a_row = pairs.filter("literal").groupBy(*own, "shift", "width").agg(F.sort_array(F.collect_set("at")).alias("places"))
+    in_a_row = in_a_row.groupBy(*own).agg(F.max(_longest_run("places") + F.col("width") - 1).alias("in_a_row"))
     kinds = (
-        per_place.groupBy("doc_id", "item_id", "literal")
+        per_place.groupBy(*own, "literal")
         .agg(F.count(F.lit(1)).alias("windows"), F.max("of").alias("of"), F.max("differs").alias("reworded"))
         .withColumn("coverage", F.col("windows") / F.col("of"))
-        .filter((F.col("coverage") >= least) & (F.col("windows") >= F.least(F.lit(3), F.col("of"))))
+        .join(in_a_row, own, "left")
+        .filter(
+            (F.col("coverage") >= least) & (F.col("windows") >= F.least(F.lit(3), F.col("of")))
+            | F.col("literal") & (F.coalesce("in_a_row", F.lit(0)) >= run)
+        )
     )
     # The kind that covers more tells; among equals the words as they are.
-    best = kinds.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "literal", "windows", "reworded")).alias("best"))
-    return best.select("doc_id", "item_id", "best.coverage", "best.windows", "best.reworded")
+    best = kinds.groupBy(*own).agg(F.max(F.struct("coverage", "literal", "windows", "reworded")).alias("best"))
+    return best.select(*own, "best.coverage", "best.windows", "best.reworded")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose id leaks nothing (null ids stay)."""
-    found = leaks(docs, benchmark, **options).select("doc_id").distinct()
+def leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    width: int = 8,
+    least: float = 0.3,
+    run: int = 13,
+    torn: float = 0.34,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """doc_id, item_id, coverage, windows, reworded (values differ): one row a leaked item of a document."""
+    found = _found(docs, benchmark, width, least, run, torn, id_col, text_col)
+    return found.drop("h").withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+
+
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    width: int = 8,
+    least: float = 0.3,
+    run: int = 13,
+    torn: float = 0.34,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of docs, whole, that leak nothing."""
+    found = _found(docs, benchmark, width, least, run, torn, id_col, text_col).select("doc_id", "h").distinct()
     # Written first: its size then decides the join, and small it spares the texts a shuffle.
-    return docs.join(Scratch(docs.sparkSession, "leaks").put(found), "doc_id", "left_anti").select(docs.columns)
+    found = Scratch(docs.sparkSession, "leaks").put(found)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_row_key(id_col, text_col))
+    kept = packed.join(found, ["doc_id", "h"], "left_anti")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -595,9 +595,70 @@ def test_decontamination_of_items_inside_a_line(spark):
     assert [found[k]["reworded"] for k in sorted(found)] == [False, True, False, True]
 
 
+def test_decontamination_in_other_languages(spark):
+    """Names with capitals beyond ASCII, nouns in capitals, units of each language."""
+    asked = {
+        "Combien de pommes Élodie Çağlar peut-elle acheter avec 12 euros si chaque pomme coûte 3 euros et elle marche 5 heures": [("Élodie Çağlar", "Özge Éric"), ("12", "20"), ("5 heures", "7 jours")],
+        "Wenn Ömer am Montag 14 Äpfel kauft und sie nach 3 Tagen mit Jürgen teilt wie viele hat er dann noch zu essen": [("Ömer", "Änne"), ("14", "18"), ("3 Tagen", "5 Wochen")],
+        "Сколько яблок купил Иван на рынке если у него было 15 рублей и он отдал половину друзьям по имени Жанна потом": [("Иван", "Щукин"), ("15", "27"), ("Жанна", "Юлия")],
+    }
+    texts = []
+    for item, changes in asked.items():
+        for old, new in changes:
+            item = item.replace(old, new)
+        texts.append(f"davor steht dies und {item} danach")
+    found = leaked(spark, texts, tuple(asked))
+    assert set(found) == {(0, 0), (1, 1), (2, 2)} and all(x["reworded"] for x in found.values())
+
+
+def test_decontamination_finds_short_runs_of_long_items(spark):
+    r = random.Random(31)
+    words = [f"{a}{b}" for a in ("ba", "lo", "mi", "ter", "su") for b in ("na", "so", "ri", "ke", "du")]
+    item = [r.choice(words) for _ in range(120)]
+    texts = [" ".join(["x y z", *item[40 : 40 + n], "z y x"]) for n in (13, 12, 30)]
+    assert set(leaked(spark, texts, (" ".join(item),))) == {(0, 0), (2, 0)}
+
+
+def test_decontamination_judges_rows(spark):
+    """Null ids, and an id whose other text leaks."""
+    bench = spark.createDataFrame([(0, ITEM)], "item_id long, text string")
+    rows = [(None, ITEM), (None, "a clean one"), (None, ITEM), (5, f"so {ITEM}"), (5, "clean too"), (6, None)]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, h int, row int").repartition(2)
+    assert sorted((x["doc_id"] or -1, x["item_id"]) for x in decontaminate.leaks(docs, bench).collect()) == [(-1, 0), (5, 0)]
+    kept = decontaminate.clean(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted((x["doc_id"] or -1, x["text"] or "") for x in kept.collect()) == [(-1, "a clean one"), (5, "clean too"), (6, "")]
+
+
+def test_decontamination_equals_plain_matching_of_words(spark):
+    """Passages as they are, against every window of every document and item compared one by one."""
+    r = random.Random(17)
+    words = [f"{a}{b}" for a in ("ba", "lo", "mi", "ter") for b in ("na", "so", "ri", "ke")]
+    items = [[r.choice(words) for _ in range(r.choice([3, 8, 12, 25]))] for _ in range(12)]
+    texts = []
+    for _ in range(120):
+        item, own = r.choice(items), [r.choice(words) for _ in range(r.randint(0, 30))]
+        a = r.randrange(len(item))
+        cut = r.randint(0, len(own))
+        texts.append(own[:cut] + item[a : a + r.randint(1, len(item))] + own[cut:])
+    want = set()
+    for i, item in enumerate(items):
+        w = min(8, len(item))
+        places = [tuple(item[k : k + w]) for k in range(len(item) - w + 1)]
+        for d, text in enumerate(texts):
+            have = {}
+            for k in range(len(text) - w + 1):
+                have.setdefault(tuple(text[k : k + w]), []).append(k)
+            hit = [k for k, x in enumerate(places) if x in have]
+            row = max((n for n in range(1, len(places) + 1) for k in range(len(places) - n + 1) for at in have.get(places[k], []) if all(at + j in have.get(places[k + j], []) for j in range(n))), default=0)
+            if len(hit) / len(places) >= 0.3 and len(hit) >= min(3, len(places)) or row and row + w - 1 >= 13:
+                want.add((d, i))
+    assert want and set(leaked(spark, [" ".join(t) for t in texts], tuple(" ".join(x) for x in items))) == want
+
+
 def test_decontamination_edges(spark, odd):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "same"), (None, "no id")], "item_id long, text string")
-    assert {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(odd, bench).collect()} == {(4, 3)}
+    assert [(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(odd, bench).collect()] == [(4, 3)]
     assert decontaminate.clean(odd, bench).count() == 5
     assert decontaminate.leaks(odd.limit(0), bench).count() == 0 and decontaminate.leaks(odd, bench.limit(0)).count() == 0
     assert pa.types.is_string(pa.string())
