@@ -4,15 +4,20 @@ A turn's content is a list of parts. A visitor walks it and lays out one string:
 it is, other parts as numbered placeholders in order; each attachment's reference is
 recorded with the tokens that it will expand to. Turns stand between control strings;
 inside texts and roles these are escaped reversibly (backslash doubled, ``<|`` becomes
-``<\\|``), so no text can open or close a turn.
+``<\\|``), so no text can open or close a turn, nor be taken for an attachment: what stands
+unescaped between ``<|`` and ``|>`` is a placeholder, and ``parse_parts`` gives texts and
+attachments back apart.
 
 Formatting is row-wise: one piece of output per turn, in order one conversation. Reading
 back streams over sorted rows, so a conversation of any length needs the memory of one
 turn.
 
 Defined cases: null text is one empty text part; a null role is an empty one; repeated
-turns are ordered by role and text; an unknown part type is a document of unknown size;
-an empty table gives an empty result.
+turns are ordered by role and text; an unknown part type is a document of unknown size; a
+part that is a string is a text; another that is no object is the text of its JSON; parts
+that are no JSON are one text, a single object is a list of one; a size that is no finite
+number counts as unknown; a null id is a conversation of its own; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -49,6 +54,12 @@ class Flattened:
     attachments: list[dict] = field(default_factory=list)
 
 
+def _size(value: object) -> float:
+    """A size as it was declared; 0 for what is none."""
+    fine = isinstance(value, int | float) and not isinstance(value, bool) and math.isfinite(value)
+    return min(max(value, 0), 1e9) if fine else 0
+
+
 class PartVisitor:
     """Flattens parts; one method a type."""
 
@@ -56,39 +67,55 @@ class PartVisitor:
         self.out: list[str] = []
         self.attachments: list[dict] = []
 
-    def visit(self, part: dict) -> None:
-        getattr(self, f"visit_{part.get('type')}", self.visit_document)(part)
+    def visit(self, part: object) -> None:
+        if not isinstance(part, dict):
+            part = {"type": "text", "text": part if isinstance(part, str) else json.dumps(part, ensure_ascii=False)}
+        {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio}.get(str(part.get("type")), self.visit_document)(part)
 
     def visit_text(self, part: dict) -> None:
-        self.out.append(escape(part.get("text") or ""))
+        text = part.get("text")
+        self.out.append(escape(text if isinstance(text, str) else "" if text is None else json.dumps(text, ensure_ascii=False)))
 
     def visit_image(self, part: dict) -> None:
-        width, height = part.get("width") or 0, part.get("height") or 0
+        width, height = _size(part.get("width")), _size(part.get("height"))
         self._attach(part, "image", max(1, math.ceil(width / PATCH) * math.ceil(height / PATCH)))
 
     def visit_audio(self, part: dict) -> None:
-        self._attach(part, "audio", max(1, math.ceil((part.get("seconds") or 0) * AUDIO_RATE)))
+        self._attach(part, "audio", max(1, math.ceil(_size(part.get("seconds")) * AUDIO_RATE)))
 
     def visit_document(self, part: dict) -> None:
-        self._attach(part, "document", max(1, part.get("pages") or 1) * PAGE_TOKENS)
+        self._attach(part, "document", max(1, math.ceil(_size(part.get("pages")))) * PAGE_TOKENS)
 
     def _attach(self, part: dict, kind: str, tokens: int) -> None:
         index = len(self.attachments)
         self.out.append(f"<|{kind}_{index}|>")
-        self.attachments.append({"kind": kind, "ref": part.get("ref"), "index": index, "tokens": tokens})
+        ref = part.get("ref")
+        ref = ref if ref is None or isinstance(ref, str) else json.dumps(ref, ensure_ascii=False)
+        self.attachments.append({"kind": kind, "ref": ref, "index": index, "tokens": tokens})
 
     def result(self) -> Flattened:
         return Flattened("".join(self.out), self.attachments)
 
 
-def flatten(parts: list[dict]) -> Flattened:
+def listed(parts: str | None, text: str | None) -> list:
+    """A column of parts as a list; the text as the one part where there are none."""
+    if not parts:
+        return [{"type": "text", "text": text}]
+    try:
+        found = json.loads(parts)
+    except ValueError:
+        found = parts
+    return found if isinstance(found, list) else [found]
+
+
+def flatten(parts: list) -> Flattened:
     visitor = PartVisitor()
     for part in parts:
         visitor.visit(part)
     return visitor.result()
 
 
-def format_turn(role: str | None, parts: list[dict]) -> tuple[str, int, int, list[dict]]:
+def format_turn(role: str | None, parts: list) -> tuple[str, int, int, list[dict]]:
     """The turn's piece, its loss span (start, length) and its attachments.
 
     The span covers an assistant's content, without control strings.
@@ -107,9 +134,25 @@ def parse_turn(piece: str) -> tuple[str, str]:
     return _ESCAPED.sub(lambda m: "\n" if m[1] == "n" else m[1], role), unescape(content)
 
 
+_PLACEHOLDER = re.compile(r"<\|(image|audio|document)_(\d+)\|>")
+
+
+def parse_parts(piece: str) -> tuple[str, list[tuple[str, str | int]]]:
+    """Role, and content as ("text", text) and (kind, number of the attachment), in order."""
+    role, _ = parse_turn(piece)
+    content = piece[len(OPEN) : -len(CLOSE)].partition("\n")[2]
+    found: list[tuple[str, str | int]] = []
+    at = 0
+    for m in _PLACEHOLDER.finditer(content):  # a text has no unescaped <|
+        found += [("text", unescape(content[at : m.start()]))] if m.start() > at else []
+        found.append((m[1], int(m[2])))
+        at = m.end()
+    return role, found + ([("text", unescape(content[at:]))] if at < len(content) else [])
+
+
 SCHEMA = (
     "conv_id long, turn long, piece string, loss_start int, loss_length int, "
-    "attachments array<struct<kind:string,ref:string,index:int,tokens:int>>"
+    "attachments array<struct<kind:string,ref:string,index:int,tokens:long>>"
 )
 
 
@@ -131,15 +174,14 @@ def format_turns(
         content.alias("parts"),
     )
     kind = pa.list_(
-        pa.struct([("kind", pa.string()), ("ref", pa.string()), ("index", pa.int32()), ("tokens", pa.int32())])
+        pa.struct([("kind", pa.string()), ("ref", pa.string()), ("index", pa.int32()), ("tokens", pa.int64())])
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
             for role, text, parts in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                listed = json.loads(parts) if parts else [{"type": "text", "text": text}]
-                made.append(format_turn(role, listed))
+                made.append(format_turn(role, listed(parts, text)))
             piece, start, span, attached = zip(*made, strict=True) if made else ((),) * 4
             yield pa.record_batch(
                 {
@@ -155,6 +197,30 @@ def format_turns(
     return rows.mapInArrow(run, SCHEMA)
 
 
+def attachments(pieces: DataFrame) -> DataFrame:
+    """conv_id, turn, role, texts (read back, without placeholders), kinds and numbers (read back), refs, tokens of each turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = [parse_parts(x) for x in batch.column(2).to_pylist()]
+            own = [[(k, v) for k, v in parts if k != "text"] for _, parts in read]
+            known = batch.column(3).to_pylist()
+            yield pa.record_batch(
+                {
+                    "conv_id": batch.column(0),
+                    "turn": batch.column(1),
+                    "role": pa.array([role for role, _ in read], pa.string()),
+                    "texts": pa.array(["".join(v for k, v in parts if k == "text") for _, parts in read], pa.string()),
+                    "placeholders": pa.array([" ".join(f"{k}_{v}" for k, v in x) for x in own], pa.string()),
+                    "refs": pa.array([" ".join(a[v]["ref"] or "" for _, v in x) for x, a in zip(own, known, strict=True)], pa.string()),
+                    "tokens": pa.array([sum(a[v]["tokens"] for _, v in x) for x, a in zip(own, known, strict=True)], pa.int64()),
+                }
+            )
+
+    schema = "conv_id long, turn long, role string, texts string, placeholders string, refs string, tokens long"
+    return pieces.select("conv_id", "turn", "piece", "attachments").mapInArrow(run, schema)
+
+
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 

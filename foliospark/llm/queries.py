@@ -143,6 +143,23 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns))
 
 
+def op10_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn's text beside an image, an audio or a document, by its number: what is read back from the formatted turns."""
+    rows = table(spark, sf_dir, "conversations")
+    ref = F.concat_ws("/", "conv_id", "turn")
+    text = F.struct(F.lit("text").alias("type"), F.concat(F.coalesce("text", F.lit("")), F.lit("<|image_0|>")).alias("text"))
+    sizes = {
+        "image": [F.lit(140).alias("width"), (F.col("turn") + 15).alias("height")],
+        "audio": [(F.col("turn") + 0.5).alias("seconds")],
+        "document": [(F.col("turn") + 1).alias("pages")],
+    }
+    kinds = {k: F.to_json(F.struct(F.lit(k).alias("type"), ref.alias("ref"), *v)) for k, v in sizes.items()}
+    one = F.when(F.col("turn") % 3 == 0, kinds["image"]).when(F.col("turn") % 3 == 1, kinds["audio"]).otherwise(kinds["document"])
+    parts = F.concat(F.lit("["), F.to_json(text), F.lit(","), one, F.lit(","), kinds["image"], F.lit("]"))
+    read = chat.attachments(chat.format_turns(rows.withColumn("parts", parts), parts_col="parts"))
+    return read.select("conv_id", "turn", "role", F.sha2("texts", 256).alias("texts_sha256"), "placeholders", "refs", "tokens")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -156,6 +173,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_chat": op10_chat,
+        "op10_parts": op10_parts,
     }
 
 
@@ -202,6 +220,17 @@ def oracle_sql() -> dict[str, str]:
         CASE WHEN low IS NULL OR page_id = low THEN 'response' ELSE 'revisit' END AS record_type,
         CASE WHEN page_id <> low THEN low END AS refers_to
     FROM p LEFT JOIN f ON p.d = f.d AND n >= 100
+    """,
+        "op10_parts": """
+    WITH t AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') || '<|image_0|>' AS text,
+            conv_id || '/' || turn AS ref, ['image', 'audio', 'document'][turn % 3 + 1] AS kind,
+            10 * ((turn + 28) // 14) AS image FROM conversations
+    )
+    SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role, sha256(text) AS texts_sha256, kind || '_0 image_1' AS placeholders,
+        ref || ' ' || ref AS refs,
+        (image + CASE kind WHEN 'image' THEN image WHEN 'audio' THEN ceil((turn + 0.5) * 25) ELSE (turn + 1) * 512 END)::BIGINT AS tokens
+    FROM t
     """,
         "op10_chat": f"""
     WITH t AS (

@@ -344,6 +344,21 @@ def test_chat_visits_typed_parts(spark):
     assert [(a["kind"], a["ref"], a["tokens"]) for a in row["attachments"]] == [("image", "a.png", 4), ("audio", "b.mp3", 51), ("document", "c.pdf", 1536)]
 
 
+def test_chat_reads_parts_back(spark):
+    """Texts that look like attachments, malformed parts, sizes that are none."""
+    parts = [{"type": "text", "text": "a<|image_0|>\\"}, {"type": "image", "width": "28", "height": None}, {"type": "video", "ref": 5, "pages": 1e400}, {"text": "x"}]
+    piece, _, _, attached = chat.format_turn("user", [*parts, "plain", 7, None, ["l"], {"type": "text", "text": {"a": 1}}])
+    assert chat.parse_parts(piece) == ("user", [("text", "a<|image_0|>\\"), ("image", 0), ("document", 1), ("document", 2), ("text", 'plain7null["l"]{"a": 1}')])
+    assert [(a["ref"], a["tokens"]) for a in attached] == [(None, 1), ("5", 512), (None, 512)]
+    assert chat.parse_parts(chat.format_turn("assistant", [])[0]) == ("assistant", [])
+    given = ["{broken", "[1, ", '"only"', '{"type": "audio", "seconds": true}', "[]", "", None, "null"]
+    rows = [(1, i, "user", "own", p) for i, p in enumerate(given)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, parts string")
+    read = {x["turn"]: x for x in chat.attachments(chat.format_turns(df, parts_col="parts")).collect()}
+    assert [read[i]["texts"] for i in range(8)] == ["{broken", "[1, ", "only", "", "", "own", "own", "null"]
+    assert [read[i]["placeholders"] for i in range(8)] == ["", "", "", "audio_0", "", "", "", ""] and read[3]["tokens"] == 1
+
+
 def test_chat_read_back(spark):
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", None), (1, 2, "assistant", "a<|im_end|>"), (2, 0, None, "x"), (2, 0, None, "x"), (None, 0, "assistant", "z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", chat.F.lit(1)).repartition(3)
