@@ -1,35 +1,43 @@
 """URL filter: rules first, then a character language-model ratio, all in DataFrame functions.
 
-Two variable-order Markov models over a folded alphabet of 40 symbols, one for
-accepted and one for rejected URLs, are counted by one grouped aggregate. Orders are
-interpolated by Witten-Bell smoothing, so a context that was never seen falls back to
-the shorter one. A URL's score is the log-likelihood difference divided by its length;
-the cut is calibrated on a held-out fifth of the labelled URLs (best balanced accuracy).
-
-The model is a table of 40 ** 3 numbers however many URLs there are: that is the bound
-on what the driver collects and on the array literal that scoring indexes. Scoring is
-row-wise, with no join and no shuffle.
+Two variable-order Markov models over an alphabet of 64 symbols, one for accepted and one
+for rejected URLs, are counted by one grouped aggregate over windows of ``ORDER`` + 1
+characters; all shorter contexts are sums of its rows. Orders are interpolated by
+Witten-Bell smoothing, so a context that was never seen falls back to the shorter one. A
+URL's score is the log-likelihood difference divided by its length; the cut is calibrated on
+a held-out fifth of the labelled URLs (best balanced accuracy).
+
+The model is a table with a row for every distinct window of the corpus, and grows with it.
+Only characters and pairs of them (64 ** 2 numbers) pass through the driver; longer contexts
+are smoothed by window functions over the table, dealt by context, of which none has more
+than 64 ** (``ORDER`` - 1) rows. Scoring joins windows with the table: it goes to every task
+up to ``KNOWN_GRAMS`` rows; beyond that only windows that make up a thousandth of all do,
+and the others are joined by window. Sums of a URL start in the map tasks.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, fits no rule
 and is scored as the text that it is (an empty one scores 0); without labelled URLs of
 both classes every score is 0 and the cut is 0, so the verdict is ``allow``; repeated
-rows each get the same verdict; columns other than those named are not read.
+rows each get the same verdict; a null id is kept; columns other than those named are not
+read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.llm.scratch import Scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Symbol 0 is any other character, 1..38 are these, 39 stands before the start.
-ALPHABET = LOWER + "0-._/?=&#:%~"
-K = 40
+# Symbol 0 is any other character, 1..62 are these, 63 stands before the start.
+ALPHABET = LOWER + "0123456789" + "-._/?=&#:%~+@;!,$*'()[]|{}"
+K = 64
 START = K - 1
+ORDER = 5  # characters of the longest context
+KNOWN_GRAMS = 200_000
 BINS, SPAN = 2000, 5.0  # calibration histogram: bins over scores -SPAN..SPAN
 
 
@@ -69,32 +77,25 @@ def matched_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return found
 
 
-def _codes(url: str) -> str:
-    """SQL for the symbols of a URL column, two start symbols first."""
-    folded = f"regexp_replace(translate(coalesce({url}, ''), '{UPPER}', '{LOWER}'), '[1-9]', '0')"
-    chars = f"filter(split({folded}, ''), c -> c <> '')"
-    return f"concat(array({START}, {START}), transform({chars}, c -> instr('{ALPHABET}', c)))"
-
-
-def with_grams(df: DataFrame, url_col: str, out: str) -> DataFrame:
-    """Append an array with the trigram code of every character."""
-    return df.withColumn("__codes", F.expr(_codes(f"`{url_col}`"))).withColumn(
-        out,
-        F.expr(
-            f"transform(slice(__codes, 3, greatest(size(__codes) - 2, 0)), (c, i) -> "
-            f"(__codes[i] * {K} + __codes[i + 1]) * {K} + c)"
-        ),
-    ).drop("__codes")
+def windows(url: str) -> str:
+    """SQL for the codes of all windows of a URL column, one a character."""
+    listed = ALPHABET.replace("'", "''")
+    chars = f"filter(split(translate(coalesce(`{url}`, ''), '{UPPER}', '{LOWER}'), ''), c -> c <> '')"
+    codes = f"concat(array_repeat({START}L, {ORDER}), transform({chars}, c -> cast(instr('{listed}', c) AS long)))"
+    code = "0L"
+    for j in range(ORDER + 1):
+        code = f"({code} * {K} + c[i + {j}])"
+    return f"transform(array({codes}), c -> transform(slice(c, {ORDER + 1}, size(c) - {ORDER}), (x, i) -> {code}))[0]"
 
 
 def _smoothed(counts: dict[int, int]) -> list[float]:
-    """log P(c | ab) for every code, by Witten-Bell interpolation down to uniform."""
-    by_order = [defaultdict(int) for _ in range(3)]
+    """P(c | a) for every pair, by Witten-Bell interpolation down to uniform."""
+    by_order = [defaultdict(int) for _ in range(2)]
     for code, n in counts.items():
-        for order in range(3):
+        for order in range(2):
             by_order[order][code % K ** (order + 1)] += n
     below = [1.0 / K]  # order -1: the same for every symbol
-    for order in range(3):
+    for order in range(2):
         total, kinds = defaultdict(int), defaultdict(int)
         for code, n in by_order[order].items():
             total[code // K] += n
@@ -106,42 +107,60 @@ def _smoothed(counts: dict[int, int]) -> list[float]:
             n = total[context]
             now.append((by_order[order][code] + kinds[context] * lower) / (n + kinds[context]) if n else lower)
         below = now
-    return [math.log(p) for p in below]
+    return below
+
+
+def log_ratios(table: DataFrame) -> DataFrame:
+    """g, n, ratio of each window: table has g, n and its counts n1 and n0 in accepted and rejected URLs."""
+    pair = (F.col("g") % K**2).cast("int")
+    pairs = table.groupBy(pair.alias("pair")).agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).collect()  # at most 64 ** 2
+    counts = [{r["pair"]: r[c] for r in pairs if r[c]} for c in ("n0", "n1")]
+    if not all(counts):
+        return table.select("g", "n", F.lit(0.0).alias("ratio"))
+    now = table
+    for i, of in enumerate(counts):
+        known = F.split(F.lit(",".join(f"{x:.17g}" for x in _smoothed(of))), ",").cast("array<double>")
+        now = now.withColumn(f"p{i}", F.get(known, pair))
+    for order in range(2, ORDER + 1):
+        # Dealt by context, so the windows of a context and those of a symbol behind it meet without another exchange.
+        now = now.withColumns({"context": F.expr(f"(g % {K ** (order + 1)}L) div {K}"), "symbol": F.col("g") % K}).repartition("context")
+        here, behind = Window.partitionBy("context"), Window.partitionBy("context", "symbol")
+        now = now.withColumn("first", F.row_number().over(behind.orderBy("g")) == 1)
+        now = now.withColumns({f"c{i}": F.sum(f"n{i}").over(behind) for i in range(2)})
+        now = now.withColumns({f"all{i}": F.sum(f"n{i}").over(here) for i in range(2)})
+        now = now.withColumns({f"kinds{i}": F.sum((F.col("first") & (F.col(f"c{i}") > 0)).cast("int")).over(here) for i in range(2)})
+        longer = lambda i: F.expr(f"if(all{i} > 0, (c{i} + kinds{i} * p{i}) / (all{i} + kinds{i}), p{i})")
+        now = now.select("g", "n", "n0", "n1", *[longer(i).alias(f"p{i}") for i in range(2)])
+    return now.select("g", "n", (F.log("p1") - F.log("p0")).alias("ratio"))
+
+
+def scored(rows: DataFrame, ratios: DataFrame) -> DataFrame:
+    """a, b, score, held, m of rows (a, b: keys, grams, held): the mean ratio of each key's windows, and its rows."""
+    taken = rows.select("a", "b", "held", F.greatest(F.size("grams"), F.lit(1)).alias("len"), F.explode_outer("grams").alias("g"))
+    known, total = ratios.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if known <= KNOWN_GRAMS:
+        met = taken.join(F.broadcast(ratios.select("g", "ratio")), "g", "left")
+    else:
+        hot = F.col("n") * 1000 >= (total or 0)  # a thousand at most
+        few = ratios.filter(hot).select("g", F.col("ratio").alias("hot_ratio"))
+        met = taken.join(F.broadcast(few), "g", "left")
+        # A window that has met meets nothing in the shuffle, and is dealt anywhere.
+        away = -1 - F.pmod("a", F.lit(1024))
+        met = met.withColumn("g", F.when(F.col("hot_ratio").isNotNull() | F.col("g").isNull(), away).otherwise(F.col("g")))
+        met = met.join(ratios.filter(~hot).select("g", "ratio"), "g", "left").withColumn("ratio", F.coalesce("hot_ratio", "ratio"))
+    mean = F.round(F.coalesce(F.avg("ratio"), F.lit(0.0)), 9)  # whatever the order of summing
+    return met.groupBy("a", "b").agg(
+        mean.alias("score"), F.max("held").alias("held"), (F.count(F.lit(1)) / F.max("len")).cast("long").alias("m")
+    )
 
 
-def fit(labelled: DataFrame, url_col: str = "url", label_col: str = "accepted") -> list[float]:
-    """Log ratio of each trigram code; zeros unless both classes occur."""
-    counted = (
-        with_grams(labelled.select(url_col, F.col(label_col).cast("int").alias("label")), url_col, "grams")
-        .select("label", F.explode("grams").alias("gram"))
-        .groupBy("label", "gram")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    counts: dict[int, dict[int, int]] = {0: {}, 1: {}}
-    for row in counted.collect():  # at most 2 * 40 ** 3 rows
-        counts[row["label"]][row["gram"]] = row["n"]
-    if not counts[0] or not counts[1]:
-        return [0.0] * K**3
-    return [a - b for a, b in zip(_smoothed(counts[1]), _smoothed(counts[0]), strict=True)]
-
-
-def score(df: DataFrame, ratios: list[float], url_col: str = "url", out: str = "score") -> DataFrame:
-    """Append the mean log ratio a character; 0 for empty URLs."""
-    table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
-    scored = with_grams(df, url_col, "__grams").withColumn("__ratios", table)
-    total = F.aggregate("__grams", F.lit(0.0), lambda acc, g: acc + F.get(F.col("__ratios"), g))
-    return scored.withColumn(
-        out, F.when(F.size("__grams") > 0, total / F.size("__grams")).otherwise(F.lit(0.0))
-    ).drop("__grams", "__ratios")
-
-
-def calibrate(scored: DataFrame, score_col: str = "score", label_col: str = "accepted") -> float:
-    """The cut with the best balanced accuracy; among equals the middle of the best run."""
-    place = F.floor((F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN), F.col(score_col))) + SPAN) * (BINS / (2 * SPAN)))
-    counted = scored.groupBy(place.alias("bin"), F.col(label_col).cast("int").alias("label")).count()
+def calibrate(rows: DataFrame) -> float:
+    """The cut with the best balanced accuracy for rows (score, held: label, m: how many); among equals the middle of the best run."""
+    place = F.floor((F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN), F.col("score"))) + SPAN) * (BINS / (2 * SPAN)))
+    counted = rows.filter("held IS NOT NULL").groupBy(place.alias("bin"), "held").agg(F.sum("m").alias("m"))
     seen = {0: [0] * (BINS + 1), 1: [0] * (BINS + 1)}
     for row in counted.collect():  # at most 2 * (BINS + 1) rows
-        seen[row["label"]][row["bin"]] += row["count"]
+        seen[row["held"]][row["bin"]] += row["m"]
     good, bad = sum(seen[1]), sum(seen[0])
     if not good or not bad:
         return 0.0
@@ -161,19 +180,26 @@ def calibrate(scored: DataFrame, score_col: str = "score", label_col: str = "acc
 
 def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, score, cut: one row a page."""
+    scratch = Scratch(pages.sparkSession, "urls")
     host, path = split_url(F.col("url"))
-    verdicts = {r.name: r.verdict for r in rules}
-    urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
+    urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     urls = urls.withColumn("host", host).withColumn("path", path)
     urls = urls.withColumn("rule", matched_rule(F.col("host"), F.col("path"), rules))
-    allowed = [name for name, verdict in verdicts.items() if verdict == "allow"]
-    by_rule = F.when(F.col("rule").isin(allowed), F.lit("allow")).otherwise(F.lit("block"))
-    labelled = urls.filter(F.col("rule").isNotNull()).withColumn("accepted", F.col("rule").isin(allowed))
-    fold = F.crc32(F.col("url").cast("binary")) % 5
-    ratios = fit(labelled.filter(fold != 0))
-    cut = calibrate(score(labelled.filter(fold == 0).select("url", "accepted"), ratios))
+    urls = urls.withColumns({"a": F.xxhash64("page_id", "url"), "b": F.xxhash64(F.lit(1), "page_id", "url")})
+    allowed = [r.name for r in rules if r.verdict == "allow"]
+    label = F.when(F.col("rule").isNotNull(), F.col("rule").isin(allowed).cast("int"))
+    fold = F.crc32(F.coalesce("url", F.lit("")).cast("binary")) % 5
+    read = urls.select(
+        "a", "b", F.when(fold != 0, label).alias("fit"), F.when(fold == 0, label).alias("held"), F.expr(windows("url")).alias("grams")
+    )
+    counts = {f"n{i}": F.coalesce((F.col("fit") == i).cast("long"), F.lit(0)) for i in range(2)}
+    seen = read.withColumns(counts).select("n0", "n1", F.explode("grams").alias("g"))
+    table = scratch.put(seen.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    scores = scratch.put(scored(read, scratch.put(log_ratios(table))))
+    cut = calibrate(scores)
     by_model = F.when(F.col("score") >= F.lit(cut), F.lit("allow")).otherwise(F.lit("block"))
-    return score(urls, ratios).select(
+    by_rule = F.when(F.col("rule").isin(allowed), F.lit("allow")).otherwise(F.lit("block"))
+    return urls.join(scores.select("a", "b", "score"), ["a", "b"]).select(
         "page_id",
         "host",
         "path",

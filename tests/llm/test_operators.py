@@ -123,9 +123,9 @@ def brute_verdicts(rows):
         return max(fits, key=lambda r: len(r.name), default=None)
 
     def codes(u):
-        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else "0" if c in "123456789" else c for c in u or "")
-        c = [39, 39] + [urls.ALPHABET.find(x) + 1 for x in low]
-        return [(c[i] * 40 + c[i + 1]) * 40 + c[i + 2] for i in range(len(c) - 2)]
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in u or "")
+        c = [63] * 5 + [urls.ALPHABET.find(x) + 1 for x in low]
+        return [tuple(c[i : i + 6]) for i in range(len(c) - 5)]
 
     judged = [(i, u, *parts(u), rule(*parts(u))) for i, u in rows]
     counts = {0: {}, 1: {}}
@@ -135,17 +135,16 @@ def brute_verdicts(rows):
                 table = counts[int(r.verdict == "allow")]
                 table[g] = table.get(g, 0) + 1
 
-    def prob(table, code, order=2):
+    def prob(table, code, order=5):
         if order < 0:
-            return 1 / 40
-        size = 40 ** (order + 1)
+            return 1 / 64
         here = {}
         for g, n in table.items():
-            if (g % size) // 40 == (code % size) // 40:
-                here[g % 40] = here.get(g % 40, 0) + n
+            if g[5 - order : 5] == code[5 - order : 5]:
+                here[g[5]] = here.get(g[5], 0) + n
         lower = prob(table, code, order - 1)
         total = sum(here.values())
-        return (here.get(code % 40, 0) + len(here) * lower) / (total + len(here)) if total else lower
+        return (here.get(code[5], 0) + len(here) * lower) / (total + len(here)) if total else lower
 
     memo = {}
 
@@ -157,7 +156,9 @@ def brute_verdicts(rows):
     return [(i, h, p, r.name if r else None, r.verdict if r else None, (sum(map(ratio, codes(u))) / len(codes(u)) if codes(u) else 0.0)) for i, u, h, p, r in judged]
 
 
-def test_urls_equal_brute_force(spark):
+@pytest.mark.parametrize("known", [urls.KNOWN_GRAMS, 1])
+def test_urls_equal_brute_force(spark, monkeypatch, known):
+    monkeypatch.setattr(urls, "KNOWN_GRAMS", known)
     r = random.Random(4)
     rows = [(None, None), (1, ""), (2, "no scheme"), (3, "http://EXAMPLE.net/en/x"), (4, "http://x.net"), (5, "http://notnet/"), (6, "ftp://a.org/fr/?q#f"), (7, "http://b.org?x/fr/")]
     for i in range(8, 200):
@@ -172,6 +173,10 @@ def test_urls_equal_brute_force(spark):
         assert abs(x["score"] - score) < 1e-5
         assert x["verdict"] == (verdict or ("allow" if x["score"] >= x["cut"] else "block"))
     assert urls.judge(df.limit(0), URL_RULES).count() == 0
+    twice = urls.judge(df.union(df).union(df.limit(0)), URL_RULES)
+    assert twice.count() == 2 * len(rows) and twice.distinct().count() == len(rows)
+    unlabelled = urls.judge(df.filter("url LIKE '%info.com%'"), URL_RULES).collect()
+    assert unlabelled and all(x["score"] == 0 and x["verdict"] == "allow" for x in unlabelled)
 
 
 # bpe
