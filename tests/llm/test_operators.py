@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark.llm import bpe, chat, decontaminate, langid, media, quality, sharding, urls, warc
 from foliospark.llm.queries import FORGED, URL_RULES, tokenizer_path
@@ -55,6 +56,21 @@ def test_sharding_edges(spark, odd):
     assert sharding.interleave(odd.limit(0), 3).count() == 0
 
 
+def test_sharding_of_rows_without_ids(spark):
+    """A hundred thousand rows of one (null) id, most of them equal: the law holds and no bucket is large."""
+    rows = spark.range(100_000).select(
+        F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 10 == 0, F.col("id").cast("string")).otherwise("same").alias("text"), F.lit("s").alias("source")
+    )
+    rows = rows.unionByName(spark.range(500).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("t").alias("source")))
+    out = sharding.interleave(rows, 40)
+    per = out.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("k"), F.max("slot").alias("last")).collect()
+    assert {x["n"] for x in per} == {2512, 2513} and all(x["n"] == x["k"] == x["last"] + 1 for x in per) and len(per) == 40
+    mixed = out.filter("source = 't'").groupBy("shard").count().collect()
+    assert {x["count"] for x in mixed} <= {12, 13}
+    hashed = rows.select(F.lit("s").alias("stratum"), sharding.seeded_hash(17, F.col("doc_id")).alias("h"), F.monotonically_increasing_id().alias("u"))
+    assert sharding.bucketed(hashed, 49, 2048).groupBy("stratum", "hb", "cut").count().agg(F.max("count")).first()[0] < 3000
+
+
 # media
 
 
