@@ -12,7 +12,9 @@ number of every class where there are so many; everything is scored.
 
 Defined cases: null text counts as empty, and an empty text has a score like any other;
 without labelled rows of both classes every score is the share of good labels (1/2
-without labels); repeated rows get equal scores; other columns are not read.
+without labels); repeated rows get equal scores; of texts under one id the least is learned
+from, of an id labelled both ways both labels are; a null id is scored, never learned from and
+not held out; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -241,7 +243,7 @@ def fit(
 
 def held_out(doc_id: Column) -> Column:
     """Rows that labels are never learned from: a third, by checksum of the id."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def fit_labelled(
@@ -255,14 +257,16 @@ def fit_labelled(
     sample = chosen.filter("label = 0").orderBy(*order).limit(half)
     sample = sample.unionByName(chosen.filter("label = 1").orderBy(*order).limit(max_rows - half)).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = texts.join(F.broadcast(sample), "doc_id").select("label", "text")
+    # One text an id, however many rows it has: what reaches the driver is bounded by the sample.
+    joined = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    joined = joined.select("label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, 1):
             x = pa.FixedSizeListArray.from_arrays(pa.array(features(part.column(1)).ravel()), len(FEATURES))
             yield pa.record_batch({"label": part.column(0), "x": x.cast(pa.list_(pa.float64()))})
 
-    rows = joined.mapInArrow(run, "label int, x array<double>").toArrow()  # bounded by the sample, repeated ids apart
+    rows = joined.mapInArrow(run, "label int, x array<double>").toArrow()  # at most max_rows
     y = rows.column("label").to_numpy().astype(float)
     x = np.array(rows.column("x").to_pylist()).reshape(len(y), len(FEATURES))
     order_of = np.lexsort((*x.T, y))  # the same model whatever the order of rows

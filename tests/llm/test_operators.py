@@ -419,6 +419,9 @@ def test_quality_on_held_out_rows(spark, odd):
     assert all(0 <= x["score"] <= 1 for x in quality.score(odd, model).collect())
     kept = quality.keep_good(docs, model)
     assert kept.columns == docs.columns and kept.count() == sum(s >= 0.5 for s in scored.values())
+    assert not any(x["h"] is None or (x["doc_id"] is None and x["h"]) for x in odd.select("doc_id", quality.held_out(quality.F.col("doc_id")).alias("h")).collect())
+    hot = docs.unionByName(documents(spark, [(2, "zz again and again", "en", "a")] * 2000))
+    assert [x["score"] for x in quality.score(docs, quality.fit_labelled(hot, labels)).orderBy("doc_id").collect()] == [scored[i] for i in sorted(scored)]
     flipped = labels.withColumn("quality", quality.F.when(quality.held_out(quality.F.col("doc_id")), 1 - quality.F.col("quality")).otherwise(quality.F.col("quality")))
     again = quality.fit_labelled(docs, flipped)
     assert [x["score"] for x in quality.score(docs, again).orderBy("doc_id").collect()] == [scored[i] for i in sorted(scored)]
