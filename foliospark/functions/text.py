@@ -45,6 +45,14 @@ def normalize_text(text: Column) -> Column:
     return without_space(translated(F.coalesce(text, F.lit("")), _table(PUNCTUATION)))
 
 
+_PLAIN = str.maketrans({c: v or None for c, v in _table(PUNCTUATION).items()})
+
+
+def plain_text(text: str) -> str:
+    """``normalize_text`` of one string."""
+    return "".join(text.translate(_PLAIN).split())
+
+
 def normalize_name(text: Column) -> Column:
     """For entity names: half-width letters, digits and brackets, few marks dropped, voltages as <n>kV."""
     alnum = [(w, n) for w, n in zip(WIDE, NARROW, strict=True) if n.isalnum()]
@@ -89,8 +97,11 @@ def sanitize_filename(name: Column) -> Column:
     return F.regexp_replace(text, r"\.+$", "")
 
 
+LINE_BREAK = "\\r\\n|[\\n\\x0b\\x0c\\r\\x1c-\\x1e\\x85\\u2028\\u2029]"
+
+
 def split_lines(text: Column) -> Column:
-    return F.split(text, "\\r\\n|[\\n\\x0b\\x0c\\r\\x1c-\\x1e\\x85\\u2028\\u2029]")
+    return F.split(text, LINE_BREAK)
 
 
 def at(text: Column, position: Column, length: Column | int) -> Column:

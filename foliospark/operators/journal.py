@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
-from foliospark.operators.rules import new_file_name
+from foliospark.operators.rows import CORNERS, MOST_ROWS, ROW_TOLERANCE, TOPS
+from foliospark.operators.rules import FUZZY_LEAST_LENGTH, FUZZY_THRESHOLD, Rule, new_file_name
 
 KEEP = 20
 TYPES = ("rename", "split")
@@ -122,6 +126,14 @@ def progress(done: int, total: int, elapsed: float) -> float:
     return elapsed / done * (total - done) if done else 0.0
 
 
+def parameter_signature(rules: list[Rule], **more: object) -> str:
+    """What decides a page's class, in one string for its cache key: regions, tolerance, thresholds, rules, and more if given."""
+    lines = "|".join(f"{r.key}=>{r.mapping}" for r in rules)
+    own = {"tops": TOPS, "corners": CORNERS, "tolerance": ROW_TOLERANCE, "rows": MOST_ROWS, "fuzzy": FUZZY_THRESHOLD, "least": FUZZY_LEAST_LENGTH}
+    own["rules"] = hashlib.sha1(lines.encode()).hexdigest()[:12]
+    return json.dumps(own | more, sort_keys=True, ensure_ascii=False)
+
+
 def page_cache_key(files: DataFrame, page: str, scale: float, signature: str) -> DataFrame:
     """binaryFile metadata with cache_key."""
     key = T.cache_key(F.col("path"), F.col("length"), F.col("modificationTime"), F.col(page), F.lit(scale), F.lit(signature))

@@ -183,6 +183,12 @@ def unlisted(report_rows: DataFrame, folders: DataFrame) -> DataFrame:
     return folders.filter("NOT is_pre_pages").join(used, "folder", "left_anti")
 
 
+def unlisted_files(unlisted_rows: DataFrame, files: DataFrame) -> DataFrame:
+    """folder, files (sorted) of each unlisted folder."""
+    got = unlisted_rows.select("folder").join(files.select("folder", "file"), "folder", "left")
+    return got.groupBy("folder").agg(F.array_sort(F.collect_list("file")).alias("files"))
+
+
 def summary(report_rows: DataFrame, unlisted_rows: DataFrame) -> DataFrame:
     """One row of totals; zeros for an empty report."""
     total = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0)).cast("long")

@@ -67,9 +67,27 @@ def best_attempts(attempts: DataFrame, keys: list[str]) -> DataFrame:
     return attempts.groupBy(*keys).agg(F.min_by(value, rank).alias("v")).select(*keys, "v.*")
 
 
-def attempt_order(drawing: bool = False) -> list[tuple[int, int, str]]:
-    """(order, angle, crop) of the recognition ladder of a page whose text runs across."""
-    crops = ["top 15%", "top 30%", "top 50%", "whole"]
-    crops += ["right bottom 40%", "bottom 30%", "right bottom 60%"] if drawing else []
-    angles = (0, 90, 270, 180)
-    return [(i, a, c) for i, (a, c) in enumerate((a, c) for a in angles for c in crops)]
+# Regions of a page as fractions (left, top, right, bottom), and the order of angles by orientation.
+TOPS = ((0.0, 0.0, 1.0, 0.15), (0.0, 0.0, 1.0, 0.30), (0.0, 0.0, 1.0, 0.50), (0.0, 0.0, 1.0, 1.0))
+CORNERS = ((0.6, 0.6, 1.0, 1.0), (0.0, 0.7, 1.0, 1.0), (0.4, 0.4, 1.0, 1.0))
+WHOLE = TOPS[-1]
+ANGLES = {0: (0, 90, 270, 180), 90: (90, 270, 0, 180)}
+
+Region = tuple[float, float, float, float]
+
+
+def attempt_order(drawing: bool = False, orientation: int = 0) -> list[tuple[int, int, Region]]:
+    """(order, angle, region) of the recognition ladder of a page."""
+    regions = TOPS + (CORNERS if drawing else ())
+    return [(i, a, c) for i, (a, c) in enumerate((a, c) for a in ANGLES[orientation] for c in regions)]
+
+
+def rows_of(boxes: list[tuple[float, float, str]], tolerance: float = ROW_TOLERANCE, most: int = MOST_ROWS) -> list[tuple[float, str]]:
+    """``grouped_rows`` of one page's boxes (top, left, text), for loops that stop at the first match."""
+    done: list[list] = []
+    for y, _, text in sorted(boxes):
+        if done and abs(y - done[-1][0]) <= tolerance:
+            done[-1][1] += text
+        else:
+            done.append([y, text])
+    return [(y, text) for y, text in done[:most]]

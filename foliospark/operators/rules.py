@@ -7,6 +7,8 @@ a match. More rules than that are refused.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -20,6 +22,14 @@ from foliospark.functions.similarity import ratio
 MOST_RULES = 5000
 FUZZY_LEAST_LENGTH = 4
 FUZZY_THRESHOLD = 0.70
+# The rules that a first run starts with (pattern, mapping).
+DEFAULT_RULES = [
+    ("配电网工程开工报告", "开工报告"),
+    ("配电网工程竣工报告", "竣工报告"),
+    ("架空配电线路安装施工记录", "架空配电线路安装施工记录"),
+    ("接地装置接地电阻测试报告", "接地电阻测试报告"),
+    ("竣工图", "竣工图纸"),
+]
 
 
 @dataclass(frozen=True)
@@ -83,6 +93,24 @@ def fuzzy_mapping(title: Column, rules: list[Rule]) -> Column:
     return F.pandas_udf(run, "string")(title)
 
 
+def matcher(rules: list[Rule], config: Config) -> Callable[[str], str | None]:
+    """The match of ``match_titles`` on one text, for loops that stop at the first hit."""
+    ranked = sorted(rules, key=lambda r: (-len(r.key), r.order))
+    breaks = re.compile(T.LINE_BREAK)
+
+    def mapping(text: str) -> str | None:
+        for wrong, right in config.fixes:
+            text = text.replace(wrong, right)
+        for line in map(T.plain_text, breaks.split(text)):
+            for rule in ranked:
+                if rule.key in line:
+                    return rule.mapping
+        plain = T.plain_text(text)
+        return best_fuzzy(plain, rules) if plain else None
+
+    return mapping
+
+
 def match_titles(
     titles: DataFrame, rules: DataFrame, config: Config | None = None, text_col: str = "text", fuzzy: bool = True
 ) -> DataFrame:

@@ -10,12 +10,15 @@ from __future__ import annotations
 import re
 import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from foliospark.operators.rules import DEFAULT_RULES
+
 HEADER_ROWS = 10
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 LINKS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -117,6 +120,22 @@ def read_rules(spark: SparkSession, path: str, pattern: str = "识别内容", ma
     )
 
 
+RULE_SHEET, RULE_HEADERS = "映射规则", ["识别内容", "映射内容"]  # fixed values
+
+
+def save_rules(rules: DataFrame, path: str) -> None:
+    """Rules (rule_ord, pattern, mapping) as a workbook that ``read_rules`` reads."""
+    kept = rules.orderBy("rule_ord").select(F.trim("pattern"), F.trim(F.coalesce("mapping", F.lit(""))))
+    write_workbook(path, {RULE_SHEET: [RULE_HEADERS, *(list(r) for r in kept.toLocalIterator())]})
+
+
+def load_rules(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
+    """The rules of a workbook, and whether it was made just now, with the default rules, as there was none."""
+    if made := not Path(path).exists():
+        write_workbook(path, {RULE_SHEET: [RULE_HEADERS, *map(list, DEFAULT_RULES)]})
+    return read_rules(spark, path), made
+
+
 def read_names(spark: SparkSession, path: str, column: str = "项目名称", most_rows: int = 5000, distinct: bool = True) -> DataFrame:
     """name, ord of all sheets; distinct names at their first place, or every row."""
     rows = sniffed(cells(spark, path, most_rows), [column]).filter(F.coalesce(column, F.lit("")) != "")

@@ -2,7 +2,9 @@
 
 import itertools
 import json
+from datetime import datetime
 from difflib import SequenceMatcher
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -178,7 +180,7 @@ def test_unique_names_skip_taken_numbers(spark):
 
 
 def test_attempts(spark):
-    assert len(rows.attempt_order(True)) == 28
+    assert len(rows.attempt_order(True)) == 28 and rows.attempt_order(orientation=90)[4][1:] == (270, rows.TOPS[0])
     line = lambda t: [{"y": 0.0, "text": t}]
     tries = [("p", 0, "", line("long text"), 0), ("p", 1, "m", line("x"), 90), ("q", 0, None, line("a"), 0), ("q", 1, "", line("bbb"), 90), ("q", 2, "", line("ccc"), 270)]
     df = spark.createDataFrame(tries, "page string, attempt_ord int, mapping string, rows array<struct<y:double,text:string>>, angle int")
@@ -421,14 +423,28 @@ def test_workbooks(spark, tmp_path):
 
 
 class FakeProvider:
-    calls = 0
+    """Pages are bytes: 0 blank, 1 text at 90 degrees, 2 a title in the upper half, 3 one in the corner, 4 no rule, 9 broken."""
 
     def pages(self, content, first_only):
+        if content == b"bad":
+            raise ValueError("not a PDF")
         return 1 if first_only else len(content)
 
-    def recognise(self, content, page, angle):
-        FakeProvider.calls += 1
-        return [] if content[page] == 0 or angle != 90 else [(5.0, 1.0, "b"), (0.0, 0.0, "a")]
+    def orientation(self, content, page):
+        return 90 if content[page] == 3 else 0
+
+    def recognise(self, content, page, angle, region):
+        kind = content[page]
+        if kind == 9:
+            raise MemoryError
+        title = [(30.0, 0.0, "配电网工程"), (31.0, 50.0, "开工报告")]
+        if kind == 1:
+            return [(5.0, 1.0, "b"), (0.0, 0.0, "a")] if angle == 90 else []
+        if kind == 2 and angle == 0:
+            return [] if region[3] < 0.15 else [(0.0, 0.0, "x")] if region[3] < 0.5 else title + ([(99.0, 0.0, "工程名称")] if region == rows.WHOLE else [])
+        if kind == 3:
+            return [(0.0, 0.0, "工作票")] if region == rows.CORNERS[1] and angle == 90 else [(0.0, 0.0, "yy")] if region == rows.WHOLE else []
+        return [(0.0, 0.0, "unlike"), (0.0, 9.0, str(angle))] if kind == 4 else []
 
 
 def test_recognition_is_pluggable(spark):
@@ -438,6 +454,49 @@ def test_recognition_is_pluggable(spark):
     assert recognition.recognise(df, FakeProvider, first_only=True).count() == 1
     with pytest.raises(Exception, match="no page recognition provider"):
         recognition.recognise(df).collect()
+    bad = spark.createDataFrame([("a", bytearray(b"\x01")), ("b", bytearray(b"bad")), ("c", bytearray(b"\x01\x09"))], "path string, content binary")
+    got = {(r["pdf_id"], r["page"]): r["error"] for r in recognition.recognise(bad, FakeProvider, prescan=False).collect()}
+    assert got == {("a", 0): None, ("b", None): "not a PDF", ("c", None): "MemoryError"}
+    assert recognition.page_rows(recognition.recognise(bad, FakeProvider)).count() == 1
+
+
+def test_recognition_ladder(spark):
+    df = spark.createDataFrame([("f", bytearray(b"\x00\x02\x03\x04")), ("g", bytearray(b"bad"))], "path string, content binary")
+    found = recognition.classify(df, rule_rows(spark), FakeProvider, CONFIG)
+    got = {(r["pdf_id"], r["page"]): r for r in recognition.page_rows(found).collect()}
+    text = lambda page: [x["text"] for x in got["f", page]["rows"]]
+    assert [(got["f", p]["mapping"], got["f", p]["angle"]) for p in range(4)] == [(None, 0), ("开工报告", 0), ("工作票", 90), (None, 270)]
+    assert text(0) == [] and text(1) == ["配电网工程开工报告", "工程名称"] and text(2) == ["工作票"] and text(3) == ["unlike270"]
+    assert [r["error"] for r in found.filter("pdf_id = 'g'").collect()] == ["not a PDF"]
+    corners_left_out = recognition.classify(df, rule_rows(spark), FakeProvider, CONFIG, drawing=False)
+    assert {r["page"] for r in corners_left_out.filter("mapping IS NOT NULL").collect()} == {1}
+
+
+def rule_rows(spark):
+    return spark.createDataFrame(RULES, "rule_ord int, pattern string, mapping string")
+
+
+def test_matcher_equals_match_titles(spark):
+    table = rule_rows(spark)
+    judge = rules.matcher(rules.prepare(table, CONFIG), CONFIG)
+    titles = ["配电网工程开工报告", "前文\n配电网 工程峻工报告。\n工作票", "配电网工呈开工报告", "低压电力电缆试验纪录 表", "无关", "", "工作票\r\n配电网工程开工报告", "工 作　票\x1c"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "i int, text string")
+    assert [r["mapping"] for r in rules.match_titles(df, table, CONFIG).orderBy("i").collect()] == [judge(t) for t in titles]
+    boxes = [(0.0, 2.0, "b"), (10.0, 0.0, "c"), (0.0, 1.0, "a"), (20.0, 0.0, "d"), (40.0, 0.0, "e")]
+    same = spark.createDataFrame([([dict(y=y, x=x, text=t) for y, x, t in boxes],)], "b array<struct<y:double,x:double,text:string>>")
+    assert [tuple(r) for r in same.select(rows.grouped_rows(F.col("b"))).first()[0]] == rows.rows_of(boxes)
+
+
+def test_rules_workbook_and_signature(spark, tmp_path):
+    path = str(tmp_path / "r.xlsx")
+    first, made = workbook.load_rules(spark, path)
+    assert made and [(r["pattern"], r["mapping"]) for r in first.orderBy("rule_ord").collect()] == rules.DEFAULT_RULES
+    defaults = rules.prepare(first, CONFIG)
+    workbook.save_rules(rule_rows(spark), path)
+    again, made = workbook.load_rules(spark, path)
+    assert not made and again.count() == len(RULES)
+    one, other = journal.parameter_signature(rules.prepare(again, CONFIG)), journal.parameter_signature(defaults)
+    assert one != other and one != journal.parameter_signature(rules.prepare(again, CONFIG), scale=2)
 
 
 def test_orientation():
@@ -447,13 +506,22 @@ def test_orientation():
 
 
 def test_reports(spark, tmp_path):
-    rep, folders = reconciled(spark, ["甲"], ["a", "b"], {"甲": ["甲a.pdf"]})
-    total = reconcile.summary(rep, reconcile.unlisted(rep, folders))
-    reports.export_csv(rep, reconcile.problems(rep), total, str(tmp_path / "r.csv"))
-    raw = (tmp_path / "r.csv").read_bytes()
-    assert raw.startswith(b"\xef\xbb\xbf") and "甲,缺失,b".encode() in raw
-    reports.export_xlsx(rep, reconcile.problems(rep), str(tmp_path / "r.xlsx"))
-    assert workbook.cells(spark, str(tmp_path / "r.xlsx")).filter("value = '缺失'").count() == 3
+    rep, folders = reconciled(spark, ["甲"], ["a", "b"], {"甲": ["甲a.pdf"], "别": ["2.pdf", "1.pdf"], "空": []})
+    others = reconcile.unlisted(rep, folders)
+    total = reconcile.summary(rep, others)
+    got = spark.createDataFrame([("甲", "甲a.pdf"), ("别", "2.pdf"), ("别", "1.pdf")], "folder string, file string")
+    others = reconcile.unlisted_files(others, got)
+    made = datetime(2026, 1, 2, 3, 4, 5)
+    path = str(tmp_path / "deep" / "r.csv")
+    assert reports.export_csv(rep, reconcile.problems(rep), total, path, "/root/x", others, made) == path
+    raw = Path(path).read_bytes()
+    lines = raw.decode("utf-8-sig").splitlines()
+    assert raw.startswith(b"\xef\xbb\xbf") and lines[:3] == ["资料完整性核对报告", "生成时间,2026-01-02 03:04:05", "核对目录,/root/x"]
+    assert lines[3:5] == ["项目数,1,应交合计,2,实收合计,1", "缺失合计,1,多余合计,0,命名不一致合计,0"] and "甲,缺失,b" in lines
+    assert lines[-2:] == ["别,多余,目录中存在但进度表未列出：1.pdf、2.pdf", "空,多余,目录中存在但进度表未列出："]
+    reports.export_xlsx(rep, reconcile.problems(rep), total, str(tmp_path / "r.xlsx"), unlisted=others)
+    cells = workbook.cells(spark, str(tmp_path / "r.xlsx"))
+    assert cells.filter("value = '缺失'").count() == 3 and cells.filter("value LIKE '目录中存在%'").count() == 2
     table = spark.createDataFrame(RULES, "rule_ord int, pattern string, mapping string")
     assert reports.import_rules(table, str(tmp_path / "rules")) == 4 and reports.import_rules(table.limit(2), str(tmp_path / "rules")) == 2
     with pytest.raises(ValueError, match="no rules"):
