@@ -17,6 +17,7 @@ from foliospark.functions import text as T
 from foliospark.functions.similarity import folder_score
 
 FOLDERS_A_BLOCK = 2000
+MOST_FOLDERS = 100_000  # folders are a directory listing; more are refused
 BEST = "folder string, folder_ord long, score double, kind int"
 
 
@@ -24,7 +25,9 @@ def _blocks(folders: DataFrame, config: Config) -> list[list[tuple]]:
     """Folders as driver-side blocks; they are a directory listing."""
     std = T.normalize_text(F.col("folder"))
     rows = folders.select("folder_ord", "folder", std.alias("std"), T.feature_key(F.col("folder"), config).alias("key"))
-    found = sorted((r["folder_ord"], r["folder"], r["std"], r["key"]) for r in rows.filter("std <> ''").toLocalIterator())
+    found = sorted((r["folder_ord"], r["folder"], r["std"], r["key"]) for r in rows.filter("std <> ''").limit(MOST_FOLDERS + 1).collect())
+    if len(found) > MOST_FOLDERS:
+        raise ValueError(f"more than {MOST_FOLDERS} folders")
     return [found[a : a + FOLDERS_A_BLOCK] for a in range(0, len(found), FOLDERS_A_BLOCK)]
 
 
