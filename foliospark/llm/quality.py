@@ -296,4 +296,5 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         for part in pieces(batches, at):
             yield part.filter(pa.array(shared.value.score(features(part.column(at))) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names may hold dots
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
