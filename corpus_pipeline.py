@@ -2,6 +2,10 @@
 
 Stages get (spark, docs, sf_dir) and return a DataFrame; all but the last return the
 columns of ``documents``. ``run`` chains them over Parquet in the shared folder.
+
+Defined cases, for every stage: rows are judged, not ids, so null and repeated ids are
+judged row by row; null text counts as empty; an empty table gives an empty result; columns
+beside ``doc_id, text, lang, source`` pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -15,13 +19,18 @@ from foliospark.llm.scratch import Scratch
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the additive model scores 1/2 or more."""
+    """Documents that the additive model scores 1/2 or more. Equal texts are judged alike; without labels all stay."""
     model = quality.fit_labelled(docs, table(spark, sf_dir, "labels"))
     return quality.keep_good(docs, model)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose fused evidence settles on a language that their text fits."""
+    """Documents whose fused evidence settles on a language that their text fits.
+
+    Texts without letters (null and empty ones too) are in no language and go; rows whose declaration is
+    null, or stands on too few rows for a model, are judged by the other evidence; of two languages with equal
+    evidence the first by name stands.
+    """
     return langid.identify(docs, only_accepted=True)
 
 
@@ -36,12 +45,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Documents that leak no benchmark item. Empty texts leak nothing; equal texts under one id go or stay together."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with the digest of their decoding."""
+    """Token ids of each document, with the digest of their decoding. Empty texts have none; each row gets its row."""
     encoded = bpe.encode(docs, tokenizer_path())
     return encoded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
