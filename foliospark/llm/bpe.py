@@ -38,10 +38,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from foliospark.llm.scratch import small_batches
 from foliospark.llm.textops import HELD, give_back
 
 END = "</w>"
-CACHE = 80_000  # pieces in each of the two generations that one worker remembers
+CACHE = 70_000  # pieces in each of the two generations that one worker remembers
 STATES = 100_000  # letter states of one worker
 
 
@@ -324,6 +325,7 @@ def digests(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "d
 
 
 def _chosen(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 

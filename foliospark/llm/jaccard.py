@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.components import merge_components
-from foliospark.llm.scratch import Scratch
+from foliospark.llm.scratch import Scratch, small_batches
 from foliospark.llm.textops import U64, mix64, pieces, shingle_sets, string_bytes, words
 
 NO_ID = (1 << 63) - 1  # stands for a null id, so that it is the largest
@@ -452,7 +452,10 @@ def _sampled(rows: DataFrame, width: int, nodes: DataFrame, renamed: Renamed) ->
         return [], 0
     share = min(1.0, SAMPLE_SETS / sets, SAMPLE_SHINGLES / shingles)
     chosen = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1))
-    found = set_rows(rows, width, chosen.select("node", "low.id", "low.h"), renamed).select("whole").toArrow()
+    chosen = chosen.select("node", "low.id", "low.h")
+    small_batches(rows.sparkSession)
+    rows = rows.join(F.broadcast(chosen.select("id", "h")), ["id", "h"], "left_semi")  # few texts reach Python
+    found = set_rows(rows, width, chosen, renamed).select("whole").toArrow()
     return [np.frombuffer(x.as_buffer(), U64) for x in found.column(0)], sets
 
 

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.scratch import Scratch
+from foliospark.llm.scratch import Scratch, small_batches
 from foliospark.llm.textops import LOWER, pieces, string_bytes
 
 BUCKETS = 1 << 16
@@ -308,6 +308,7 @@ def identify(docs: DataFrame, sample: int = 8000, least: float = 0.5, only_accep
     if not only_accepted:
         docs = docs.drop("language", "confidence", "accepted")
     rows = gathered(docs, **columns)
+    small_batches(docs.sparkSession)
     fusion, hosts = learn(rows, sample, least)
     shared = docs.sparkSession.sparkContext.broadcast(fusion)
 

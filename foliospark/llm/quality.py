@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.scratch import small_batches
 from foliospark.llm.textops import IS_SPACE, U64, pieces, string_bytes, words
 
 FEATURES = [
@@ -250,6 +251,7 @@ def fit_labelled(
     docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, seed: int = 7, label_col: str = "quality"
 ) -> Model:
     """Fit on at most ``max_rows`` labelled rows outside the held-out third, half of them of each class."""
+    small_batches(docs.sparkSession)
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     chosen = chosen.filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
     order = [F.xxhash64(F.lit(seed), "doc_id"), "doc_id"]
@@ -276,6 +278,7 @@ def fit_labelled(
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of every row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,6 +292,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of docs, whole, that score ``least`` or more: one pass, no join."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -25,6 +25,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found or f"file://{tempfile.mkdtemp(prefix='foliospark-')}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """For plans that run after their operator has returned: the session's Arrow batches are bounded by bytes, unless it
+    has a bound of its own. Rows hold whole texts, so a bound by rows is none."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, WHILE_WRITING[name])
+
+
 class Scratch:
     """Parquet tables of one run; each is complete before anything reads it."""
 
