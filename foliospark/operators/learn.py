@@ -13,6 +13,7 @@ HEADS = ("业扩", "配套", "低压", "高压", "台区", "线路", "维修", "
 TAILS = ("工程", "项目", "包N")
 KEYWORDS = ("业扩", "配套工程", "维修", "维护", "改造", "新建", "台区")
 LINK = r"^([一-龥]{1,5}?[省市区县镇乡村])"
+MOST_WORDS = 50_000  # of a vocabulary: it becomes configuration; more are refused
 VOLT = r"(?U)^\d+(?:\.\d+)?\s*[kK][vV]"
 
 
@@ -77,7 +78,13 @@ def infer(names: DataFrame) -> dict[str, list[str]]:
     if not total:
         return {}
     order = [F.length("word").desc(), F.col("word")]
-    words = lambda df, *by: [r["word"] for r in df.orderBy(*by).select("word").collect()]
+
+    def words(df: DataFrame, *by: Column) -> list[str]:
+        found = df.orderBy(*by).select("word").limit(MOST_WORDS + 1).collect()
+        if len(found) > MOST_WORDS:
+            raise ValueError(f"more than {MOST_WORDS} words")
+        return [r["word"] for r in found]
+
     regions = words(frequent(region_counts(clean), F.lit(total), 0.05, True), *order)
     learned = words(suffix_counts(clean).filter("n >= 2"), *order)
     suffixes = sorted({*learned, *Config().business_suffixes}, key=lambda s: (-len(s), s))

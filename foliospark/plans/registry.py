@@ -416,6 +416,41 @@ def g3_frequent_words(spark, sf_dir):
     return learn.frequent(counts.crossJoin(F.broadcast(total)), F.col("total"), 0.01, True).select("word", "n")  # one row
 
 
+def _project_names(spark, sf_dir) -> DataFrame:
+    """Project names as they are learned from, made of customers."""
+    k = F.col("c_custkey")
+    town = F.when(k % 2 == 0, "甲市").otherwise("乙省")
+    place = F.when(k % 3 == 0, "丙县").when(k % 3 == 1, "丁区").otherwise("戊镇")
+    work = F.when(k % 4 == 0, "10kV业扩配套工程").when(k % 4 == 1, "低压台区维修项目").when(k % 4 == 2, "线路改造项目12").otherwise("无关")
+    name = F.concat(F.lit("2024年"), town, place, "c_mktsegment", work)
+    return table(spark, sf_dir, "customer").select(name.alias("name"))
+
+
+@query(
+    "g3_region_counts",
+    """
+    WITH c AS (SELECT CASE c_custkey % 2 WHEN 0 THEN '甲市' ELSE '乙省' END AS a,
+        CASE c_custkey % 3 WHEN 0 THEN '丙县' WHEN 1 THEN '丁区' ELSE '戊镇' END AS b FROM customer)
+    SELECT word, count(*)::BIGINT AS n FROM (SELECT a AS word FROM c UNION ALL SELECT b FROM c UNION ALL SELECT a || b FROM c) GROUP BY word
+    """,
+)
+def g3_region_counts(spark, sf_dir):
+    """Region words at the start of each name, and their chains."""
+    return learn.region_counts(_project_names(spark, sf_dir))
+
+
+@query(
+    "g4_suffix_counts",
+    """
+    SELECT CASE c_custkey % 4 WHEN 0 THEN '10kV业扩配套工程' WHEN 1 THEN '低压台区维修项目' ELSE '线路改造项目' END AS word, count(*)::BIGINT AS n
+    FROM customer WHERE c_custkey % 4 < 3 GROUP BY 1
+    """,
+)
+def g4_suffix_counts(spark, sf_dir):
+    """The longest legal business suffix of each name."""
+    return learn.suffix_counts(_project_names(spark, sf_dir))
+
+
 _WORDS = ("the", "der", "ción", "que", "zzz")
 
 
