@@ -42,8 +42,9 @@ from foliospark.llm.scratch import small_batches
 from foliospark.llm.textops import HELD, give_back
 
 END = "</w>"
+MARK = 256
 CACHE = 70_000  # pieces in each of the two generations that one worker remembers
-STATES = 100_000  # letter states of one worker
+STATES = 80_000  # letter states of one worker
 
 
 def byte_letters() -> list[str]:
@@ -79,15 +80,16 @@ class Automaton:
             self._gadget(number[a], number[b], number.setdefault(a + b, len(number)))
         self.id_of = array("i", [vocabulary[t] for t in number])
         self.labels = list(number)
-        # A word's end mark is one letter here, which no token has alone.
-        self.mark = "\ue000"
-        self.letters: dict[str, int] = {}
+        # Letters are bytes; a word's end mark is one more, which no token has alone.
+        byte_of = {letter: b for b, letter in enumerate(byte_letters())}
         self.trie: dict[int, int] = {}  # place << 9 | letter to place
         self.token_at = array("i", [-1])  # the arc whose label ends at a place of the trie
         self.length = array("i", [0] * len(number))  # letters of a label
         for t, i in number.items():
             if i not in self.unmade:
-                self._spell(t[: -len(end)] + self.mark if t.endswith(end) else t, i)
+                ended = t.endswith(end)
+                spelt = [byte_of[x] for x in (t[: -len(end)] if ended else t)]
+                self._spell([*spelt, MARK] if ended else spelt, i)
         self._start()
 
     def _gadget(self, u: int, v: int, uv: int) -> None:
@@ -114,11 +116,10 @@ class Automaton:
                     return True
                 now, y = y + 1, left[y]  # of equal merges the leftmost comes first, hence up to y's own time
 
-    def _spell(self, label: str, token: int) -> None:
+    def _spell(self, label: list[int], token: int) -> None:
         place = 0
         for letter in label:
-            key = place << 9 | self.letters.setdefault(letter, len(self.letters))
-            place = self.trie.setdefault(key, len(self.token_at))
+            place = self.trie.setdefault(place << 9 | letter, len(self.token_at))
             if place == len(self.token_at):
                 self.token_at.append(-1)
         self.token_at[place] = token
@@ -153,18 +154,18 @@ class Automaton:
         self.next[state << 9 | letter] = to
         return to
 
-    def path(self, word: str) -> list[int]:
-        """Tokens of one word (letters for bytes, without the end mark)."""
+    def path(self, word: bytes) -> list[int]:
+        """Tokens of one word (without the end mark)."""
         if len(self.begun) > STATES:
             self._start()
-        table, labels, state, ends = self.next, self.label, 0, []
-        for letter in map(self.letters.__getitem__, word + self.mark):
+        table, state, states = self.next, 0, [0]
+        for letter in (*word, MARK):
             to = table.get(state << 9 | letter)
             state = self._step(state, letter) if to is None else to
-            ends.append(labels[state])
-        tokens, at = [], len(ends)
+            states.append(state)
+        labels, tokens, at = self.label, [], len(word) + 1
         while at:
-            token = ends[at - 1]
+            token = labels[states[at]]
             if token < 0:
                 raise ValueError(f"no path for {word!r}")
             tokens.append(token)
@@ -190,17 +191,15 @@ class Tokenizer:
         self.spec["pre_tokenizer"] = spec["pre_tokenizer"]["pretokenizers"][0]
         self.spec["model"] = {"type": "BPE", "vocab": {}, "merges": []}
         self.library = None  # its normaliser and splitter, once a text needs them
-        self.byte_letter = byte_letters()
+        self.decimal = [str(i) for i in self.automaton.id_of]
         self.label_of = {str(i): t for t, i in model["vocab"].items()}
         self.label_of |= {str(i): t for t, i in self.added.items()}
         self.known: dict[str, str] = _Known(self._piece)  # piece to ids
         self.emitted: dict[str, str] = _Known(self._labels)  # ids to labels
 
     def _piece(self, piece: str) -> str:
-        if not (piece.isascii() and piece.isprintable()):
-            piece = "".join([self.byte_letter[b] for b in piece.encode("utf-8", "surrogatepass")])
-        ids = self.automaton.id_of
-        return " ".join([str(ids[t]) for t in self.automaton.path(piece)])
+        decimal = self.decimal
+        return " ".join([decimal[t] for t in self.automaton.path(piece.encode("utf-8", "surrogatepass"))])
 
     def pieces(self, text: str) -> list[str]:
         """Normalised and split."""

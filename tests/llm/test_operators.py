@@ -228,10 +228,10 @@ def test_bpe_equals_library_at_every_kind_of_character():
 def test_letter_tables_start_anew_when_full(monkeypatch):
     own = bpe.Tokenizer(open(tokenizer_path(), encoding="utf-8").read())
     words = ["".join(random.Random(i).choice("etaoins") for _ in range(9)) for i in range(400)]
-    want = [own.automaton.path(w) for w in words]
+    want = [own.automaton.path(w.encode()) for w in words]
     monkeypatch.setattr(bpe, "STATES", 50)
     monkeypatch.setattr(bpe, "CACHE", 7)
-    assert [own.automaton.path(w) for w in words] == want
+    assert [own.automaton.path(w.encode()) for w in words] == want
     assert [own.encode(w) for w in words * 2] == [[own.automaton.id_of[t] for t in p] for p in want] * 2
 
 
@@ -256,7 +256,7 @@ def test_automaton_of_few_merges_is_exact():
                     merged.append(parts[i] + parts[i + 1] if hit else parts[i])
                     i += 2 if hit else 1
                 parts = merged
-            assert [own.labels[t] for t in own.path("".join(word))] == parts
+            assert [own.labels[t] for t in own.path("".join(word).encode())] == parts
 
 
 def test_bpe_columns(spark, odd):
