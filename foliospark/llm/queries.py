@@ -76,6 +76,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of ``op3_url_filter`` SQL can say too: host, path and rule."""
+    return op3_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -165,6 +170,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op2_media_mpeg": op2_media_mpeg,
         "op3_url_filter": op3_url_filter,
+        "op3_rules": op3_rules,
         "op4_bpe": op4_bpe,
         "op5_language_id": op5_language_id,
         "op5_pages": op5_pages,
@@ -212,6 +218,18 @@ def oracle_sql() -> dict[str, str]:
     SELECT doc_id, size + 16 AS size, text_crc32, 'rows' AS law, shard::INTEGER AS shard,
         (pos - (shard * total + {SHARDS - 1}) // {SHARDS})::BIGINT AS slot, NULL::INTEGER AS grown_shard, source
     FROM cut
+    """,
+        "op3_rules": """
+    WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    b AS (SELECT page_id, regexp_extract(rest, '^[^?#]*') AS bare FROM u),
+    s AS (SELECT page_id, translate(regexp_extract(bare, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(bare, '/.*$') AS path FROM b)
+    SELECT page_id, host, path, CASE
+        WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+        WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+        WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+    FROM s
     """,
         "op6_warc": """
     WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha256(coalesce(html, '')) AS d FROM pages),
