@@ -43,8 +43,8 @@ from foliospark.llm.textops import HELD, give_back
 
 END = "</w>"
 MARK = 256
-CACHE = 70_000  # pieces in each of the two generations that one worker remembers
-STATES = 80_000  # letter states of one worker
+CACHE = 250_000  # pieces in each of the two generations that one worker remembers
+STATES = 200_000  # letter states of one worker
 
 
 def byte_letters() -> list[str]:
