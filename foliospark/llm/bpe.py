@@ -31,7 +31,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -43,8 +43,10 @@ from foliospark.llm.textops import HELD, give_back
 
 END = "</w>"
 MARK = 256
-CACHE = 250_000  # pieces in each of the two generations that one worker remembers
-STATES = 200_000  # letter states of one worker
+CACHE = 100_000  # pieces in each of the two generations that one worker remembers
+EMITTED = 50_000  # likewise of their labels, which are soon found again
+LENGTH = 160  # characters of a piece and what is made of it, to be remembered
+STATES = 100_000  # letter states of one worker
 
 
 def byte_letters() -> list[str]:
@@ -129,13 +131,14 @@ class Automaton:
         """Letter tables with the start state only: one token may begin, in the state before all tokens."""
         self.next: dict[int, int] = {}  # state << 9 | letter to state
         self.label = array("i", [-1])
-        self.begun = [(0,)]  # of each state: token before (plus one) << 20 | place in the trie, for each begun token
-        self.number: dict[tuple[int, ...], int] = {}
+        # Of each state: token before (plus one) << 20 | place in the trie, 8 bytes for each begun token.
+        self.begun = [bytes(8)]
+        self.number: dict[bytes, int] = {}
 
     def _step(self, state: int, letter: int) -> int:
         """Fill in one transition."""
-        begun, ends = [], -1
-        for item in self.begun[state]:
+        begun, ends = array("q"), -1
+        for item in memoryview(self.begun[state]).cast("q"):
             place = self.trie.get((item & 0xFFFFF) << 9 | letter)
             if place is not None:
                 before = item >> 20
@@ -145,7 +148,7 @@ class Automaton:
                     ends = token
         if ends >= 0:
             begun.append(ends + 1 << 20)
-        key = tuple(begun)
+        key = begun.tobytes()
         to = self.number.get(key)
         if to is None:
             to = self.number[key] = len(self.begun)
@@ -194,8 +197,8 @@ class Tokenizer:
         self.decimal = [str(i) for i in self.automaton.id_of]
         self.label_of = {str(i): t for t, i in model["vocab"].items()}
         self.label_of |= {str(i): t for t, i in self.added.items()}
-        self.known: dict[str, str] = _Known(self._piece)  # piece to ids
-        self.emitted: dict[str, str] = _Known(self._labels)  # ids to labels
+        self.known: dict[str, str] = _Known(self._piece, lambda: CACHE)  # piece to ids
+        self.emitted: dict[str, str] = _Known(self._labels, lambda: EMITTED)  # ids to labels
 
     def _piece(self, piece: str) -> str:
         decimal = self.decimal
@@ -246,17 +249,17 @@ class Tokenizer:
 class _Known(dict):
     """Pieces already made, in two generations: a full one takes the place of the one before it."""
 
-    def __init__(self, make) -> None:
+    def __init__(self, make: Callable[[str], str], most: Callable[[], int]) -> None:
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
         self.before: dict[str, str] = {}
 
     def __missing__(self, piece: str) -> str:
         made = self.before.get(piece)
         if made is None:
             made = self.make(piece)
-        if len(piece) <= 128:
-            if len(self) >= CACHE:
+        if len(piece) + len(made) <= LENGTH:
+            if len(self) >= self.most():
                 self.before = dict(self)
                 self.clear()
             self[piece] = made

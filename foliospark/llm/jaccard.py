@@ -55,6 +55,7 @@ BLOCK = 1024  # nodes of a key that one task compares at a time
 PAIR_COST = 0.01  # a pair met by chance against a row written
 FILTER_BITS = 1 << 23
 SEEN = 100_000
+WIDE = 1 << 14  # bins up to which a sketch is wide, so that few shingles share a bin
 SAMPLE_SETS, SAMPLE_SHINGLES = 1_500, 1_000_000  # that allocation is measured on
 
 
@@ -161,9 +162,9 @@ class Bands:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity of the shingles in each of a power of two of bins, one to two for each shingle."""
+    """Parity of the shingles in each of a power of two of bins: four to eight for each shingle, in very large sets down to one."""
     bits = 64
-    while bits < len(s):
+    while bits < max(min(4 * len(s), WIDE), len(s)):
         bits *= 2
     counts = np.bincount((mix64(s ^ U64(0x9E6C63D0876A9A47)) & U64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(bool)).tobytes()

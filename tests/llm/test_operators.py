@@ -235,6 +235,25 @@ def test_letter_tables_start_anew_when_full(monkeypatch):
     assert [own.encode(w) for w in words * 2] == [[own.automaton.id_of[t] for t in p] for p in want] * 2
 
 
+def test_tables_of_a_worker_are_small():
+    """What is kept after very many different words: pieces, labels and letter tables."""
+    import sys
+
+    own = bpe.Tokenizer(open(tokenizer_path(), encoding="utf-8").read())
+    pick = random.Random(5)
+    for _ in range(400):
+        own.emit(own.paths(" ".join("".join(pick.choices("etaoinshrdlu", k=9)) for _ in range(400))))
+    letters, counted = own.automaton, {}
+    for table in (own.known, own.known.before, own.emitted, own.emitted.before, letters.next, letters.number):
+        counted[id(table)] = sys.getsizeof(table)
+        counted |= {id(x): sys.getsizeof(x) for entry in table.items() for x in entry}
+    for state in letters.begun:  # a tuple of integers has those beside it
+        counted[id(state)] = sys.getsizeof(state)
+        if isinstance(state, tuple):
+            counted |= {id(x): sys.getsizeof(x) for x in state}
+    assert sum(counted.values()) < 80e6
+
+
 def test_automaton_of_few_merges_is_exact():
     """Every word over a small alphabet, against merging by rank."""
     import itertools
