@@ -43,10 +43,10 @@ from foliospark.llm.textops import HELD, give_back
 
 END = "</w>"
 MARK = 256
-CACHE = 100_000  # pieces in each of the two generations that one worker remembers
+CACHE = 150_000  # pieces in each of the two generations that one worker remembers
 EMITTED = 50_000  # likewise of their labels, which are soon found again
 LENGTH = 160  # characters of a piece and what is made of it, to be remembered
-STATES = 100_000  # letter states of one worker
+STATES = 150_000  # letter states of one worker
 
 
 def byte_letters() -> list[str]:
