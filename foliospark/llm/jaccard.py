@@ -22,9 +22,12 @@ number that two different sets share is changed for all but one of them. Keys me
 by one node only are dropped by an aggregate that carries two numbers a key. What is
 left is joined in three rounds of candidates: every node with its key's least node,
 then the nearest pairs of different components within a key, then all such pairs, in
-blocks. The nodes of a key's most frequent component are never dealt against each other.
+blocks. A key's pairs with its least node are settled by the first round, and a key without
+close pairs in the second has none in the third, so neither is dealt again.
+The nodes of a key's most frequent component are never dealt against each other.
 A pair passes only if a parity sketch allows it (its Hamming distance never
-exceeds the sets' difference) and is then verified on the whole sets, one row a node.
+exceeds the sets' difference) and is then verified on the whole sets, one row a node;
+these are written a round, for the nodes in its pairs.
 No link between components is lost, and pairs inside a component are not needed.
 
 Sets are compared by 64-bit hashes of their shingles.
@@ -304,6 +307,18 @@ def verify(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
+def linked_pairs(
+    pairs: DataFrame, rows: DataFrame, width: int, known: DataFrame, renamed: Renamed, p: int, q: int, scratch: Scratch
+) -> DataFrame:
+    """``verify`` with the whole sets of the nodes in pairs, which are on disk meanwhile; known: node, low (id, h)."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = scratch.put(known.select("node", "low.id", "low.h").join(ends, "node", "left_semi"))
+    sets = scratch.put(set_rows(rows, width, wanted, renamed))
+    found = scratch.put(verify(pairs, sets, p, q))
+    scratch.drop(sets)
+    return found
+
+
 def sifted(pairs: DataFrame, known: DataFrame, p: int, q: int) -> DataFrame:
     """The pairs (a, b) that sizes and sketches allow. known: node, n, sketch."""
     sized = pairs.join(known.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
@@ -384,7 +399,7 @@ def close_pairs(
 
 
 def candidate_pairs(members: DataFrame, known: DataFrame, p: int, q: int, nearest: bool) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that share a key, differ in label and may be linked.
+    """Pairs (a, b) of nodes that share a key, differ in label and may be linked, once a block of the key: key, a, b.
 
     members: key, node, label. known: node, n, sketch. A key's nodes are dealt into
     blocks; each pair of blocks is compared by one task, which streams over its sorted
@@ -420,10 +435,11 @@ def candidate_pairs(members: DataFrame, known: DataFrame, p: int, q: int, neares
             i, j = close_pairs(n, cols[7].to_pylist(), label, cols[3].to_numpy(), p, q, nearest)
             if len(i):
                 a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-                yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                key = np.full(len(i), cols[0][0].as_py())
+                yield pa.record_batch({"key": pa.array(key, pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     dealt = placed.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "key long, a long, b long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -493,16 +509,19 @@ def solve(docs: DataFrame, width: int, p: int, q: int, id_col: str, text_col: st
     met = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub <> far")
     members = scratch.put(keyed.join(met.select("key", "hub").hint("shuffle_hash"), "key").distinct())
     known = scratch.put(nodes.join(members.select("node").distinct(), "node"))
-    sets = scratch.put(set_rows(rows, width, known.select("node", "low.id", "low.h"), renamed))
     star = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     tried = scratch.put(sifted(star, known, p, q))
     labels = known.select("node", F.col("node").alias("label"))
-    labels = merge_components(labels, scratch.put(verify(tried, sets, p, q)), scratch)
+    labels = merge_components(labels, linked_pairs(tried, rows, width, known, renamed, p, q, scratch), scratch)
+    # The first round has settled all pairs with a key's hub.
+    rest = members.filter("node <> hub").select("key", "node")
     for nearest in (True, False):
-        labelled = members.select("key", "node").join(labels, "node")
-        pairs = scratch.put(candidate_pairs(labelled, known, p, q, nearest).join(tried, ["a", "b"], "left_anti"))
-        labels = merge_components(labels, scratch.put(verify(pairs, sets, p, q)), scratch)
+        close = scratch.put(candidate_pairs(rest.join(labels, "node"), known, p, q, nearest))
+        pairs = scratch.put(close.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        labels = merge_components(labels, linked_pairs(pairs, rows, width, known, renamed, p, q, scratch), scratch)
         tried = tried.union(pairs)
+        # The nearest pairs are some of all: a key that has none has no other.
+        rest = rest.join(close.select("key").distinct(), "key", "left_semi")
     found = scratch.put(nodes.join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("root")))
     scratch.keep(base, found)
     return base.select("id", "h", "n", "node"), found
